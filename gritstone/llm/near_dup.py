@@ -15,7 +15,8 @@ group of the first and a group of the second, so side*side tables of 2*rows mini
    is a metric, so |d(a,p) - d(b,p)| > 1 - threshold rules a link out). So no candidate is dropped, and a
    group of thousands of near copies costs about its size, not the square.
 
-At 0.85 with side 8 and rows 2 a linked pair shares no key with probability 7e-5.
+The side is the least at which a pair at the threshold shares no key with a probability of MISS at
+most: 8 at 0.85 and 10 at 0.8, with two minima a group.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; a text with
 fewer words than a shingle is one shingle of all its words; repeated rows share their class; a null
@@ -24,6 +25,7 @@ doc_id gets a null component and is kept; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-SIDE, ROWS = 8, 2
+ROWS, MISS = 2, 1e-4
 _SKETCH = "doc_id long, n_shingles long, set_id binary, a array<long>, b array<long>"
 
 
@@ -100,7 +102,12 @@ def _sketcher(width: int, side: int, rows: int):
     return run
 
 
-def sketch(docs: DataFrame, width: int, side: int = SIDE, rows: int = ROWS) -> DataFrame:
+def side_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Groups in a collection; a pair needs an equal group in both."""
+    return max(1, math.ceil(math.log(miss / 2) / math.log(1 - min(percent / 100, 0.99) ** rows)))
+
+
+def sketch(docs: DataFrame, width: int, side: int, rows: int = ROWS) -> DataFrame:
     return C.doc_texts(docs).mapInArrow(_sketcher(width, side, rows), _SKETCH)
 
 
@@ -152,9 +159,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: int | None = None, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of documents linked at 100 * intersection >= percent * union."""
     spark = docs.sparkSession
+    side = side or side_for(percent, rows)
     C_ = lambda name: C.scratch(spark, f"near-{name}")
     sketches = C.save(sketch(docs, width, side, rows), C_("sketch"))
     # one class per distinct set; copies are combined before the shuffle

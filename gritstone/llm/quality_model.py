@@ -216,6 +216,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Net]) -> DataFrame:
     return rows.select("doc_id", (C.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def good(docs: DataFrame, model: tuple[np.ndarray, Net]) -> DataFrame:
+    """The rows of docs that the model accepts, all columns as they are; rows are filtered where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, net = shared.value
+        for batch in C.slices(batches):
+            yield batch.filter(pa.array(net.score(pool(*word_rows(batch.column("text")), vectors)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     return score(docs, fit(docs, C.table(spark, sf_dir, "labels")))

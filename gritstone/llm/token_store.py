@@ -45,6 +45,8 @@ WRITE = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
+#: Words whose ids a worker remembers.
+KNOWN = 200_000
 #: Words that the library gets as one text.
 JOIN = 500
 _NEAR_SPACE = r" \s|\s "
@@ -85,6 +87,36 @@ def _spaced(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.concatenate([ids, more])[C.ragged(starts, sizes)]
 
 
+class _Known:
+    """Ids of words that a worker has met twice in a slice, up to KNOWN words."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+
+def _all_spaced(tok, words: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sizes, ids) as _spaced, with what is known from earlier slices."""
+    known = _loaded.setdefault(("known", id(tok)), _Known())
+    at = np.fromiter(map(known.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+    new = np.flatnonzero(at < 0)
+    sizes, ids = _spaced(tok, [words[i] for i in new])
+    starts = np.cumsum(sizes) - sizes
+    all_starts, all_sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    all_starts[new], all_sizes[new] = len(known.ids) + starts, sizes
+    old = at >= 0
+    all_starts[old], all_sizes[old] = (np.cumsum(known.sizes) - known.sizes)[at[old]], known.sizes[at[old]]
+    ids = np.concatenate([known.ids, ids])
+    keep = np.flatnonzero(often[new])[: max(KNOWN - len(known.place), 0)]
+    if len(keep):
+        known.add([words[new[i]] for i in keep], sizes[keep], ids[C.ragged(len(known.ids) + starts[keep], sizes[keep])])
+    return all_starts, all_sizes, ids
+
+
 def _space_first(tok) -> np.ndarray:
     if id(tok) not in _loaded:
         flags = np.zeros(max(tok.get_vocab().values()) + 1, bool)
@@ -112,10 +144,9 @@ def encode(texts: pa.Array, tok, end_id: int | None = END_ID) -> tuple[np.ndarra
     first = np.zeros(len(code), bool)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     later = np.unique(code[~first])
-    sizes, ids = _spaced(tok, [words[i] for i in later])
+    starts, sizes, ids = _all_spaced(tok, [words[i] for i in later], np.bincount(code, minlength=len(words))[later] > 1)
     more_sizes, more_ids = _ids(tok, [words[i] for i in code[first]])
-    sizes, ids = np.concatenate([sizes, more_sizes]), np.concatenate([ids, more_ids])
-    starts = np.cumsum(sizes) - sizes
+    starts, sizes, ids = np.concatenate([starts, len(ids) + np.cumsum(more_sizes) - more_sizes]), np.concatenate([sizes, more_sizes]), np.concatenate([ids, more_ids])
     at = np.empty(len(code), np.int64)
     where = np.empty(len(words), np.int64)
     where[later] = np.arange(len(later))

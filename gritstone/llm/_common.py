@@ -67,6 +67,27 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
+#: Bits of a broadcast membership map: 8 MB, whatever the corpus.
+BITMAP_BITS = 1 << 26
+_BLOCK = 1 << 15  # bits in one of Spark's bitmap buckets
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """BITMAP_BITS bits as bytes: bit h mod BITMAP_BITS of each long h; made on the executors, 4 kB blocks come to the driver."""
+    bit = f"pmod({column}, {BITMAP_BITS})"
+    rows = hashes.groupBy(F.expr(f"cast({bit} div {_BLOCK} as int)").alias("block")).agg(F.expr(f"bitmap_construct_agg({bit} % {_BLOCK})").alias("bits")).collect()
+    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["bits"], np.uint8)
+        out[r["block"] * _BLOCK // 8 :][: len(part)] = part
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    b = (hashes.view(np.int64) % BITMAP_BITS).astype(np.int64)
+    return (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+
+
 # ---- Arrow batches -----------------------------------------------------------------------------
 
 

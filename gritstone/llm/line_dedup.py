@@ -7,7 +7,7 @@ more than once, anywhere, stays at its first place (least doc_id, then line) and
 
 Hashes only pick candidates: chunks of one hash are then grouped by their bytes, and only equal bytes are
 repeats. Counting sends (hash, place) without text and is combined before the shuffle; a fixed-size bitmap
-of repeated hashes then lets only likely repeats' texts be sent for the comparison.
+of repeated hashes then lets only likely repeats' texts be sent for the comparison (as it fills up, more are).
 
 Defined cases: null and empty texts have no chunk and stay as they are; blank chunks don't count; repeated rows
 of one doc_id and equal text share their places, so a passage is not a repeat of itself within such rows; rows with a null
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +29,6 @@ from . import _common as C
 WINDOW, DIVISOR, MOST_LINES = 2, 2, 64
 LEAST_LINES, LEAST_WORDS = 2, 50
 BASE = 1_000_003
-BITMAP_BITS = 1 << 26  # 8 MB, whatever the corpus; as it fills up, more texts are compared
-_BLOCK = 1 << 15  # bits in one of Spark's bitmap buckets
 
 
 def chunks(text: str) -> Iterator[tuple[int, int, bytes]]:
@@ -73,7 +70,7 @@ def _candidates(bitmap):
                 for s, n, x in chunks(t):
                     if _counts(n, x):
                         h = xxhash.xxh3_64_intdigest(x) - (1 << 63)
-                        b = h % BITMAP_BITS
+                        b = h % C.BITMAP_BITS
                         if bits[b >> 3] >> (b & 7) & 1:
                             rows.append((i, s, n, h, x))
             cols = list(zip(*rows, strict=True)) or [()] * 5
@@ -82,17 +79,6 @@ def _candidates(bitmap):
     return run
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """BITMAP_BITS bits as bytes: bit h mod BITMAP_BITS of each hash."""
-    bit = F.pmod("hash", F.lit(BITMAP_BITS))
-    rows = hashes.groupBy(F.expr(f"cast(pmod(hash, {BITMAP_BITS}) div {_BLOCK} as int)").alias("block")).agg(F.bitmap_construct_agg(bit % _BLOCK).alias("bits")).collect()  # at most BITMAP_BITS / 8 bytes
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for r in rows:
-        part = np.frombuffer(r["bits"], np.uint8)
-        out[r["block"] * _BLOCK // 8 :][: len(part)] = part
-    return out
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, line, lines of every occurrence of a chunk after its first."""
     spark = docs.sparkSession
@@ -100,7 +86,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "line")
     places = C.save(texts.mapInArrow(_places, "doc_id long, line int, lines int, hash long"), C.scratch(spark, "lines-places"))
     often = places.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("hash")
-    bitmap = spark.sparkContext.broadcast(_bitmap(often))
+    bitmap = spark.sparkContext.broadcast(C.bitmap(often, "hash"))
     found = texts.mapInArrow(_candidates(bitmap), "doc_id long, line int, lines int, hash long, bytes binary")
     # the comparison: equal hash and equal bytes
     equal = found.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).select("hash", F.xxhash64("bytes", F.lit(1)).alias("check"), "first", "last")

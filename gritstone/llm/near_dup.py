@@ -7,13 +7,16 @@ group of the first and a group of the second, so side*side tables of 2*rows mini
 
 1. Sketch: one row per document with the set's size and hash and the two collections.
 2. Classes: documents with equal sets become one class before any key is made.
-3. Buckets: classes that share a key; buckets with the same members are one bucket.
-4. Star round: in each bucket every class is compared with one pivot, on full sets. Links are closed to
-   components, and each class keeps its distance from the pivot.
-5. Rest: only pairs of a bucket that are still in different components are compared, and of those
-   only pairs whose sizes allow the threshold and whose distances from the pivot do (Jaccard distance
-   is a metric, so |d(a,p) - d(b,p)| > 1 - threshold rules a link out). So no candidate is dropped, and a
-   group of thousands of near copies costs about its size, not the square.
+3. Buckets: classes that share a key; of buckets with the same members the first table's stays.
+4. Star rounds: in each bucket that holds more than one component, every class is compared with one pivot on
+   full sets, first with any and then with the one that holds the fewest rare shingles. Links are closed to components.
+5. Rest: pairs of a bucket that are still in different components. With Q any set of shingles, two sets
+   share at most min(|u & Q|, |v & Q|) shingles inside Q, so a pair can only be linked if that, with the shingles
+   that it shares outside Q, is enough. Q holds the shingles that RARE or more classes have; the others
+   are joined (under RARE classes each), and pairs that need no rare shingle are found by their counts alone. What
+   passes is compared on full sets.
+
+No candidate is dropped, and a group of thousands of near copies costs about its size, not the square.
 
 The side is the least at which a pair at the threshold shares no key with a probability of MISS at
 most: 8 at 0.85 and 10 at 0.8, with two minima a group.
@@ -31,12 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
 
 ROWS, MISS = 2, 1e-4
+RARE = 8
 _SKETCH = "doc_id long, n_shingles long, set_id binary, a array<long>, b array<long>"
 
 
@@ -104,13 +108,32 @@ def _sketcher(width: int, side: int, rows: int):
 
 def side_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     """Groups in a collection; a pair needs an equal group in both."""
-    return max(1, math.ceil(math.log(miss / 2) / math.log(1 - min(percent / 100, 0.99) ** rows)))
+    return min(15, max(1, math.ceil(math.log(miss / 2) / math.log(1 - min(percent / 100, 0.99) ** rows))))
 
 
 def sketch(docs: DataFrame, width: int, side: int, rows: int = ROWS) -> DataFrame:
     return C.doc_texts(docs).mapInArrow(_sketcher(width, side, rows), _SKETCH)
 
 
+def _among(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(C.in_bitmap(wanted.value, batch.column("h").to_numpy()))).select(["doc_id", "text"])
+
+    return run
+
+
+def _own(width: int):
+    """Rows whose text has the set that it is taken for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            own = [a == b for a, b in zip(_set_ids(*shingle_sets(batch.column("text"), width)), batch.column("set_id").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(own, pa.bool_())).select(["set_id", "text"])
+
+    return run
+
+
 def _comparer(width: int):
     """(p, m, p_text, m_text) to (p, m, inter, total); rows of one p follow one another."""
 
@@ -119,13 +142,13 @@ def _comparer(width: int):
         for batch in C.slices(batches, "m_text"):
             p, m = batch.column("p").to_pylist(), batch.column("m").to_pylist()
             offsets, shingles = shingle_sets(batch.column("m_text"), width)
-            ids, out = _set_ids(offsets, shingles), []
+            out = []
             for i in range(batch.num_rows):
                 if p[i] != last:
                     _, mine = shingle_sets(batch.column("p_text").slice(i, 1), width)
                     last = p[i]
                 other = shingles[offsets[i] : offsets[i + 1]]
-                both = int(np.isin(other, mine, assume_unique=True, kind="sort").sum()) if ids[i] == m[i] else 0
+                both = len(np.intersect1d(other, mine, assume_unique=True))
                 out.append((p[i], m[i], both, len(mine) + len(other) - both))
             cols = list(zip(*out, strict=True))
             yield pa.record_batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["p", "m", "inter", "total"])
@@ -133,19 +156,44 @@ def _comparer(width: int):
     return run
 
 
-def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Full sets of pairs (p, m) of classes, from the text of one document each."""
-    where = classes.select("set_id", "doc_id")
-    side = lambda c: pairs.select(c).distinct().join(where.withColumnRenamed("set_id", c), c).join(C.doc_texts(docs), "doc_id").select(c, F.col("text").alias(f"{c}_text"))
+def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """inter and total (intersection and union) of the full sets of pairs (p, m) of classes; texts: (set_id, text)."""
+    side = lambda c: texts.select(F.col("set_id").alias(c), F.col("text").alias(f"{c}_text"))
     rows = pairs.select("p", "m").join(side("m"), "m").join(side("p"), "p").sortWithinPartitions("p")
     return rows.select("p", "m", "p_text", "m_text").mapInArrow(_comparer(width), "p binary, m binary, inter long, total long")
 
 
+def _slots(width: int):
+    """How often each bitmap slot is met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            _, shingles = shingle_sets(batch.column("text"), width)
+            slot, n = np.unique(shingles.view(np.int64) % C.BITMAP_BITS, return_counts=True)
+            yield pa.record_batch([pa.array(slot), pa.array(n)], ["slot", "n"])
+
+    return run
+
+
+def _rare(width: int, common):
+    """How many of a class's shingles are common, and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            offsets, shingles = shingle_sets(batch.column("text"), width)
+            often = C.in_bitmap(common.value, shingles)
+            inside = C.segment_sums(often, offsets)
+            at = np.concatenate([[0], np.cumsum(np.diff(offsets) - inside)])
+            yield pa.record_batch([batch.column("set_id"), pa.array(inside), C.list_array(at, shingles[~often].view(np.int64), pa.int64())], ["set_id", "inside", "outside"])
+
+    return run
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, comp) of the nodes of edges (u, v); comp is the least node reachable. Every node takes its
     least neighbour's label, then labels are followed one step on, until nothing changes."""
     spark = edges.sparkSession
-    both = C.save(edges.select("u", "v").union(edges.select("v", "u")).distinct(), C.scratch(spark, f"{name}-edges"))
+    both = C.save(edges.select("u", "v").union(edges.select("v", "u")).distinct(), edges_at := C.scratch(spark, f"{name}-edges"))
     labels = C.save(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("comp")), old := C.scratch(spark, f"{name}-labels"))
     while True:
         low = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("comp").alias("low"))
@@ -156,6 +204,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         C.drop(spark, old)
         labels, old = step.select("node", "comp"), new
         if done:
+            C.drop(spark, edges_at)
             return labels
 
 
@@ -169,35 +218,79 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     classes = C.save(
         sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), C_("classes")
     )
-    keys = classes.select("set_id", "n", F.explode("a").alias("x"), "b").select("set_id", "n", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "set_id", "n")
-    h = F.xxhash64("set_id")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(h).alias("hx"), F.min(h).alias("lo"), F.max(h).alias("hi")).filter("members > 1")
-    shared = C.save(shared.groupBy("members", "hx", "lo", "hi").agg(F.min("key").alias("key")).select("key"), C_("keys"))
+    # a key's low byte is its table
+    tables = classes.select("set_id", "n", F.posexplode("a").alias("i", "x"), "b").select("set_id", "n", "i", "x", F.posexplode("b").alias("j", "y"))
+    keys = tables.select(F.shiftleft(F.xxhash64("x", "y"), 8).bitwiseOR((F.col("i") * side + F.col("j")).cast("long")).alias("key"), "set_id", "n")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("set_id")).alias("who")).filter("members > 1")
+    shared = C.save(shared.groupBy("members", "who").agg(F.min(F.struct(F.expr("key & 255").alias("t"), "key")).alias("first")).select("first.key"), C_("keys"))
     members = C.save(keys.join(shared, "key"), C_("members"))
-    # star round: every member against its bucket's pivot
-    pivots = members.groupBy("key").agg(F.min_by(F.struct("set_id", "n"), F.xxhash64("set_id")).alias("pivot")).select("key", F.col("pivot.set_id").alias("p"), F.col("pivot.n").alias("pn"))
-    starred = C.save(members.join(pivots, "key"), C_("stars"))
+    spent: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """Saved until the round ends."""
+        spent.append(C_(name))
+        return C.save(df, spent[-1])
+
+    def clear() -> None:
+        C.drop(spark, *spent)
+        spent.clear()
+
+    # a text for each class of a bucket; the set's hash tells it from other rows of that doc_id
+    where = members.select("set_id").distinct().join(classes.select("set_id", "doc_id"), "set_id")
+    named = F.xxhash64("doc_id").alias("h")
+    wanted = spark.sparkContext.broadcast(C.bitmap(where.select(named), "h"))  # most other texts stay where they are
+    rows = C.doc_texts(docs).select("doc_id", "text", named).mapInArrow(_among(wanted), "doc_id long, text string")
+    rows = where.join(rows, "doc_id").mapInArrow(_own(width), "set_id binary, text string")  # repeated rows give equal pairs
+    texts = C.save(rows, C_("texts"))
     fits = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
-    stars = starred.filter("set_id <> p").filter(fits.format("n", "pn")).select("p", F.col("set_id").alias("m")).distinct()
-    near = C.save(compare(stars, classes, docs, width), C_("compared"))
     link = f"100 * inter >= {percent} * total"
-    labels = components(near.filter(link).select(F.col("p").alias("u"), F.col("m").alias("v")), "near")
-    # the rest: pairs that may link two components
-    state = starred.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    state = state.join(near.select("p", F.col("m").alias("set_id"), (1 - F.col("inter") / F.col("total")).alias("d")), ["p", "set_id"], "left").withColumn("d", F.when(F.col("set_id") == F.col("p"), F.lit(0.0)).otherwise(F.col("d")))
-    state = C.save(state.select("key", "set_id", "n", "p", "comp", "d"), C_("state"))
-    open_keys = state.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members")).filter("c0 <> c1 and members > 2").select("key")
-    left = state.join(open_keys, "key")
-    u, v = left.alias("u"), left.alias("v")
-    apart = (F.col("u.key") == F.col("v.key")) & (F.col("u.set_id") < F.col("v.set_id")) & (F.col("u.comp") != F.col("v.comp")) & (F.col("u.set_id") != F.col("u.p")) & (F.col("v.set_id") != F.col("u.p"))
-    reach = F.coalesce(F.abs(F.col("u.d") - F.col("v.d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    rest = u.join(v, apart & reach & F.expr(fits.format("u.n", "v.n"))).select(F.col("u.set_id").alias("p"), F.col("v.set_id").alias("m"), F.col("u.comp").alias("cp"), F.col("v.comp").alias("cm")).distinct()
-    rest = C.save(rest.join(near.select("p", "m"), ["p", "m"], "left_anti").join(near.select(F.col("p").alias("m"), F.col("m").alias("p")), ["p", "m"], "left_anti"), C_("rest"))
-    if not rest.isEmpty():
-        more = compare(rest, classes, docs, width).filter(link).join(rest, ["p", "m"]).select(F.col("cp").alias("u"), F.col("cm").alias("v"))
-        tops = components(more, "near-rest").select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        everyone = state.select(F.col("set_id").alias("node"), "comp").distinct()
-        labels = everyone.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    labels = members.select(F.col("set_id").alias("node"), F.col("set_id").alias("comp")).distinct()
+
+    def state() -> DataFrame:
+        """Members of buckets that hold more than one component."""
+        rows = keep(members.join(labels.withColumnRenamed("node", "set_id"), "set_id"), "state")
+        return rows.join(rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"), "key")
+
+    def joined(links: DataFrame, name: str) -> DataFrame:
+        """Labels after links (p, m) of classes."""
+        ends = labels.withColumnRenamed("comp", "u")
+        edges = links.join(ends.withColumnRenamed("node", "p"), "p").join(ends.select(F.col("node").alias("m"), F.col("u").alias("v")), "m").filter("u <> v")
+        tops = components(edges, name).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        return C.save(labels.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), C_(f"{name}-labels"))
+
+    def star(rows: DataFrame, order: Column, name: str) -> DataFrame:
+        """Labels after every class of a bucket is compared with the bucket's pivot, the last in order."""
+        pivots = rows.groupBy("key").agg(F.max_by(F.struct("set_id", "n", "comp"), F.struct(order, F.xxhash64("set_id"))).alias("pivot"))
+        pairs = rows.join(pivots, "key").filter("comp <> pivot.comp").filter(fits.format("n", "pivot.n")).select(F.col("pivot.set_id").alias("p"), F.col("set_id").alias("m")).distinct()
+        return joined(keep(compare(pairs, texts, width).filter(link), f"{name}-links"), name)
+
+    labels = star(state(), F.lit(0), "near-star")
+    clear()
+    left = C.save(state(), C_("open"))
+    if not left.isEmpty():
+        mine = texts.join(left.select("set_id").distinct(), "set_id", "left_semi")
+        often = mine.select("text").mapInArrow(_slots(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= RARE)
+        common = spark.sparkContext.broadcast(C.bitmap(often, "slot"))
+        parts = C.save(mine.mapInArrow(_rare(width, common), "set_id binary, inside long, outside array<long>"), C_("parts"))
+        left = left.join(parts.select("set_id", "inside"), "set_id")
+        labels = star(left, F.col("inside") / F.col("n"), "near-core")
+        clear()
+        left = C.save(state().join(parts.select("set_id", "inside"), "set_id"), C_("rest"))
+        enough = f"100 * {{0}} >= {percent} * (un + vn - {{0}})"
+        end = lambda x: [F.col(c).alias(f"{x}{c[0]}") for c in ("set_id", "n", "comp", "inside")]
+        apart = F.expr("us < vs and uc <> vc") & F.expr(fits.format("un", "vn"))
+        # pairs that common shingles alone may link, each in the first of the tables that hold both
+        rows = left.select("key", "set_id", "n", "comp", "inside").join(classes.select("set_id", "a", "b"), "set_id")
+        first = " and ".join(f"({t} <= {k} or u_{c}[{k}] <> v_{c}[{k}])" for t, c in ((f"(key & 255) div {side}", "a"), (f"(key & 255) % {side}", "b")) for k in range(side))
+        both = [rows.select("key", *end(x), F.col("a").alias(f"{x}_a"), F.col("b").alias(f"{x}_b")) for x in "uv"]
+        core = both[0].join(both[1], "key").filter(apart & F.expr(enough.format("least(ui, vi)")) & F.expr(first)).select("us", "vs")
+        # pairs that share rare ones
+        rows = left.select("set_id", "n", "comp", "inside").distinct().join(parts.select("set_id", F.explode("outside").alias("shingle")), "set_id")
+        shared = rows.select("shingle", *end("u")).join(rows.select("shingle", *end("v")), "shingle").filter(apart)
+        shared = shared.groupBy("us", "vs").agg(F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("un", "vn", "ui", "vi")]).filter(enough.format("(least(ui, vi) + both)")).select("us", "vs")
+        rest = C.save(core.union(shared).distinct().select(F.col("us").alias("p"), F.col("vs").alias("m")), C_("pairs"))
+        labels = joined(keep(compare(rest, texts, width).filter(link), "rest-links"), "near-rest")
+        clear()
     # a component's id is its least document
     named = classes.select("set_id", "doc_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -176,7 +176,7 @@ def _pooler(vectors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             x = pool(*word_rows(batch.column("text")), vectors.value).astype(np.float32)
-            yield pa.record_batch([batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     return run
 
@@ -203,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         total[r["block"]] = np.frombuffer(r["sums"], np.int64)
     vectors = unit(total.reshape(ROWS, DIMS))
     shared = spark.sparkContext.broadcast(vectors)
-    got = texts.select("label", "text").mapInArrow(_pooler(shared), "label int, x binary").orderBy("x", "label").collect()  # sample rows of DIMS floats
+    got = texts.mapInArrow(_pooler(shared), "doc_id long, label int, x binary").collect()  # sample rows of DIMS floats
+    got = sorted(got, key=lambda r: (r["doc_id"], r["label"], r["x"]))
     C.drop(spark, at)
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64).reshape(len(got), DIMS)
     return vectors, fit_net(x, np.array([r["label"] for r in got], np.float64))

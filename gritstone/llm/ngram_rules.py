@@ -34,6 +34,8 @@ BROADCAST_ROWS = 4_000_000  # 48 MB of hashes and log-probabilities
 DEVIATIONS = 8.0  # half-width of a band, in scaled median absolute deviations
 LEAST_WIDTH = 0.05  # in log-perplexity, for languages whose documents are all alike
 BOS = 2
+GRAM_SLICE = 1 << 20  # text bytes whose n-grams are held at a time
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _NO_LANG = "und"
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -91,13 +93,9 @@ def symbols(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return offsets, out
 
 
-def _step(h: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return C.mix(h * np.uint64(0x9E3779B97F4A7C15) + points.astype(np.uint64) + np.uint64(1))
-
-
 def gram_hashes(lang: np.ndarray, points: list[np.ndarray]) -> np.ndarray:
     """Hash of (language, n-gram): points[k] holds the k-th code point of each."""
-    return reduce(_step, points, lang)
+    return C.mix(reduce(lambda h, p: h * MULTIPLIER + p.astype(np.uint64) + np.uint64(1), points, lang))
 
 
 def lang_hash(langs: list[str | None]) -> np.ndarray:
@@ -111,22 +109,28 @@ def grams(texts: pa.Array, langs: list[str | None], order: int) -> tuple[np.ndar
     return text, first, points, gram_hashes(lang_hash(langs)[text], [points[first + k] for k in range(order)])
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each hash, one place of each distinct hash)."""
+    coded = pa.array(h).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    some = np.empty(len(coded.dictionary), np.int64)
+    some[code] = np.arange(len(code))
+    return code, some
+
+
 def _decode(points: np.ndarray, first: np.ndarray, order: int) -> list[str]:
-    data = points[first[:, None] + np.arange(order)].astype("<u4")
-    return [r.tobytes().decode("utf-32-le") for r in data]
+    joined = points[first[:, None] + np.arange(order)].astype("<u4").tobytes().decode("utf-32-le")
+    return [joined[i : i + order] for i in range(0, len(joined), order)]
 
 
 def _counter(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches):
+        for batch in C.slices(batches, limit=GRAM_SLICE):
             langs = batch.column("lang").to_pylist()
             text, first, points, h = grams(batch.column("text"), langs, order)
             if not len(h):
                 continue
-            coded = pa.array(h).dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False)
-            some = np.empty(len(coded.dictionary), np.int64)
-            some[code] = np.arange(len(code))
+            code, some = distinct(h)
             yield pa.record_batch([pa.array([langs[i] or _NO_LANG for i in text[some]], pa.string()), pa.array(_decode(points, first[some], order), pa.string()), pa.array(np.bincount(code))], ["lang", "gram", "n"])
 
     return run
@@ -229,16 +233,13 @@ def _scorer(model, order: int):
     """Rows with base counts and log-perplexity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches):
+        for batch in C.slices(batches, limit=GRAM_SLICE):
             base = base_counts(batch.column("text"))
             langs = batch.column("lang").to_pylist()
             text, first, points, h = grams(batch.column("text"), langs, order)
             n, total = np.bincount(text, minlength=batch.num_rows), np.zeros(batch.num_rows)
             if len(h):
-                coded = pa.array(h).dictionary_encode()
-                code = coded.indices.to_numpy(zero_copy_only=False)
-                some = np.empty(len(coded.dictionary), np.int64)
-                some[code] = np.arange(len(code))
+                code, some = distinct(h)
                 logp = model.value.logp(lang_hash(langs)[text[some]], points[first[some][:, None] + np.arange(order)])
                 total = np.bincount(text, weights=logp[code], minlength=batch.num_rows)
             entropy = pa.array(np.where(n > 0, -total / np.maximum(n, 1), 0.0), mask=n == 0)

@@ -272,23 +272,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
         often = mine.select("text").mapInArrow(_slots(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= RARE)
         common = spark.sparkContext.broadcast(C.bitmap(often, "slot"))
         parts = C.save(mine.mapInArrow(_rare(width, common), "set_id binary, inside long, outside array<long>"), C_("parts"))
-        left = left.join(parts.select("set_id", "inside"), "set_id")
-        labels = star(left, F.col("inside") / F.col("n"), "near-core")
+
+        def core(rows: DataFrame) -> DataFrame:
+            """Members that common shingles alone may link, of buckets where such are in different components."""
+            rows = rows.select("key", "set_id", "n", "comp").join(parts.select("set_id", "inside"), "set_id").filter(f"100 * inside >= {percent} * n")
+            return rows.join(rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"), "key")
+
+        labels = star(core(left), F.col("inside") / F.col("n"), "near-core")
         clear()
-        left = C.save(state().join(parts.select("set_id", "inside"), "set_id"), C_("rest"))
+        left = C.save(state(), C_("rest"))
         enough = f"100 * {{0}} >= {percent} * (un + vn - {{0}})"
         end = lambda x: [F.col(c).alias(f"{x}{c[0]}") for c in ("set_id", "n", "comp", "inside")]
         apart = F.expr("us < vs and uc <> vc") & F.expr(fits.format("un", "vn"))
         # pairs that common shingles alone may link, each in the first of the tables that hold both
-        rows = left.select("key", "set_id", "n", "comp", "inside").join(classes.select("set_id", "a", "b"), "set_id")
+        rows = core(left).join(classes.select("set_id", "a", "b"), "set_id")
         first = " and ".join(f"({t} <= {k} or u_{c}[{k}] <> v_{c}[{k}])" for t, c in ((f"(key & 255) div {side}", "a"), (f"(key & 255) % {side}", "b")) for k in range(side))
         both = [rows.select("key", *end(x), F.col("a").alias(f"{x}_a"), F.col("b").alias(f"{x}_b")) for x in "uv"]
-        core = both[0].join(both[1], "key").filter(apart & F.expr(enough.format("least(ui, vi)")) & F.expr(first)).select("us", "vs")
+        alike = both[0].join(both[1], "key").filter(apart & F.expr(enough.format("least(ui, vi)")) & F.expr(first)).select("us", "vs")
         # pairs that share rare ones
-        rows = left.select("set_id", "n", "comp", "inside").distinct().join(parts.select("set_id", F.explode("outside").alias("shingle")), "set_id")
+        rows = left.select("set_id", "n", "comp").distinct().join(parts.select("set_id", "inside", F.explode("outside").alias("shingle")), "set_id")
         shared = rows.select("shingle", *end("u")).join(rows.select("shingle", *end("v")), "shingle").filter(apart)
         shared = shared.groupBy("us", "vs").agg(F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("un", "vn", "ui", "vi")]).filter(enough.format("(least(ui, vi) + both)")).select("us", "vs")
-        rest = C.save(core.union(shared).distinct().select(F.col("us").alias("p"), F.col("vs").alias("m")), C_("pairs"))
+        rest = C.save(alike.union(shared).distinct().select(F.col("us").alias("p"), F.col("vs").alias("m")), C_("pairs"))
         labels = joined(keep(compare(rest, texts, width).filter(link), "rest-links"), "near-rest")
         clear()
     # a component's id is its least document

@@ -41,6 +41,7 @@ from . import _common as C
 
 ROWS, MISS = 2, 1e-4
 RARE = 8
+_KEYS = "key long, set_id binary, n long"
 _SKETCH = "doc_id long, n_shingles long, set_id binary, a array<long>, b array<long>"
 
 
@@ -106,6 +107,24 @@ def _sketcher(width: int, side: int, rows: int):
     return run
 
 
+def _keys(side: int, wanted):
+    """Table keys of classes: every pair of groups of the two collections; a key's low byte is its table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, side) for c in "ab")
+            pairs = C.mix(a[:, :, None] * np.uint64(0x9E3779B97F4A7C15) + b[:, None, :]).reshape(-1, side * side)
+            key = ((pairs << np.uint64(8)) | np.arange(side * side, dtype=np.uint64)).view(np.int64).ravel()
+            row = np.repeat(np.arange(batch.num_rows), side * side)
+            if wanted is not None:
+                held = C.in_bitmap(wanted.value, key >> 8)
+                key, row = key[held], row[held]
+            row = pa.array(row)
+            yield pa.record_batch([pa.array(key), batch.column("set_id").take(row), batch.column("n").take(row)], ["key", "set_id", "n"])
+
+    return run
+
+
 def side_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     """Groups in a collection; a pair needs an equal group in both."""
     return min(15, max(1, math.ceil(math.log(miss / 2) / math.log(1 - min(percent / 100, 0.99) ** rows))))
@@ -218,12 +237,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     classes = C.save(
         sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), C_("classes")
     )
-    # a key's low byte is its table
-    tables = classes.select("set_id", "n", F.posexplode("a").alias("i", "x"), "b").select("set_id", "n", "i", "x", F.posexplode("b").alias("j", "y"))
-    keys = tables.select(F.shiftleft(F.xxhash64("x", "y"), 8).bitwiseOR((F.col("i") * side + F.col("j")).cast("long")).alias("key"), "set_id", "n")
+    tables = classes.select("set_id", "n", "a", "b")
+    keys = tables.mapInArrow(_keys(side, None), _KEYS)
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("set_id")).alias("who")).filter("members > 1")
     shared = C.save(shared.groupBy("members", "who").agg(F.min(F.struct(F.expr("key & 255").alias("t"), "key")).alias("first")).select("first.key"), C_("keys"))
-    members = C.save(keys.join(shared, "key"), C_("members"))
+    wanted = spark.sparkContext.broadcast(C.bitmap(shared.select(F.shiftright("key", 8).alias("h")), "h"))  # most keys are one class's and go nowhere
+    members = C.save(tables.mapInArrow(_keys(side, wanted), _KEYS).join(shared, "key"), C_("members"))
     spent: list[str] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:

@@ -102,7 +102,7 @@ STATEMENTS: dict[str, str] = {
     "risk_dollars": """
         select p_type, cast(sum(floor(l_quantity * 1000 * case when l_returnflag = 'R' then 1.0e0 when l_returnflag = 'A' then 0.7e0 else 0.3e0 end * greatest(0.4e0, 1 - l_discount * 5) + 0.5)) as bigint) as loss
         from lineitem join part on l_partkey = p_partkey group by p_type""",
-    "category_score": f"select status, cast(greatest(0, 100 - sum(case severity when 'critical' then 25 when 'high' then 15 when 'medium' then 6 when 'low' then 2 else 0 end)) as bigint) as score from {FINDINGS} f where owner % 50 = 1 and id % 20 = 0 group by status",
+    "category_score": f"select owner, cast(greatest(0, 100 - sum(case severity when 'critical' then 25 when 'high' then 15 when 'medium' then 6 when 'low' then 2 else 0 end)) as bigint) as score from {FINDINGS} f group by owner",
     "posture_grade_rank": """
         select s_suppkey, grade, cast(row_number() over (order by crit, high, grade, s_suppkey) as bigint) as rank_no from (select s_suppkey, crit, high,
         case when crit = 0 and high = 0 and med = 0 then 'A' when crit = 0 and high = 0 and med <= 5 then 'B' when crit = 0 and high <= 2 then 'C' when crit <= 1 and high <= 5 then 'D' else 'F' end as grade from (

@@ -49,3 +49,22 @@ def watch_delta(before: DataFrame, now: DataFrame, most: int = 50) -> DataFrame:
     both = added.select(*key, "change").unionByName(fixed.select(*key, "change"))
     burst = both.agg((F.countDistinct("path") > most).alias("burst"))
     return both.join(F.broadcast(burst), ~F.col("burst")).drop("burst")  # the other side is one row
+
+
+def alerts_once(components: DataFrame, advisories: DataFrame, late: str = "7 days") -> DataFrame:
+    """Alerts of a stream of components (name, ecosystem, seen) against a table of advisories (name, ecosystem, advisory), each advisory once for
+    a component within ``late``. The table side is static, so only the alerts given are kept as state, and they expire."""
+    rows = components.join(advisories, ["ecosystem", "name"])
+    keys = ["advisory", "ecosystem", "name"]
+    return rows.withWatermark("seen", late).dropDuplicatesWithinWatermark(keys) if rows.isStreaming else rows.dropDuplicates(keys)
+
+
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as components (their type, by user), users with a value over 50 as advisories of that type; an alert for each user and type once."""
+    events = table(spark, d, "events")
+    name = F.col("user_id").cast("string").alias("name")
+    advisories = events.filter("value > 50").select(F.col("event_type").alias("ecosystem"), name, F.concat(F.lit("A"), F.col("user_id").cast("string")).alias("advisory")).distinct()
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = stream.select(F.col("event_type").alias("ecosystem"), name, F.col("ts").cast("timestamp").alias("seen"))
+    out = alerts_once(rows, advisories, "3650 days").select("advisory", "ecosystem")
+    return run_to_table(out, "alerts", "append").select("advisory", "ecosystem")

@@ -14,7 +14,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_its_sql(spark, con, name):
-    oracle.same(catalog.queries()[name](spark, SMALL), con, catalog.oracle_sql()[name])
+    rows, sql = catalog.queries()[name](spark, SMALL), catalog.oracle_sql().get(name)
+    if sql is None:  # held against brute force in test_flow
+        assert rows.count() > 0
+    else:
+        oracle.same(rows, con, sql)
 
 
 def test_entry(spark):

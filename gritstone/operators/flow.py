@@ -81,55 +81,58 @@ def alias_classes(copies: DataFrame, fields: DataFrame) -> DataFrame:
 
 def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(qid, node, idom, frontier): immediate dominators and dominance frontiers of the nodes that a function's entry reaches;
-    the entry's idom is null. One function's graph is one task's group, its size that of a function's source."""
+    the entry's idom is null. A function's graph is one row, its size that of the function's source; a batch holds many."""
+    from collections.abc import Iterator
+
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        succ: dict[int, list[int]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            if b >= 0:
-                succ.setdefault(int(a), []).append(int(b))
-        start, order, open_nodes, met = int(pdf["entry"].iloc[0]), [], [], set()
-        open_nodes.append((start, iter(succ.get(start, ()))))
-        met.add(start)
-        while open_nodes:  # post-order without recursion
-            at, rest = open_nodes[-1]
-            ahead = next((n for n in rest if n not in met), None)
-            if ahead is None:
-                order.append(at)
-                open_nodes.pop()
-            else:
-                met.add(ahead)
-                open_nodes.append((ahead, iter(succ.get(ahead, ()))))
-        place = {n: i for i, n in enumerate(order)}
-        pred: dict[int, set[int]] = {n: set() for n in order}
-        for n in order:
-            for s in succ.get(n, ()):
-                pred[s].add(n)
-        idom = {start: start}
-        moved = True
-        while moved:
-            moved = False
-            for n in reversed(order[:-1]):
-                best = None
-                for p in pred[n]:
-                    if p in idom:
-                        best = p if best is None else _meet(idom, place, best, p)
-                if idom.get(n) != best:
-                    idom[n], moved = best, True
-        up = idom | {start: None}
-        frontier: dict[int, set[int]] = {n: set() for n in order}
-        for n in order:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(q, *r) for q, e, g in zip(pdf["qid"], pdf["entry"], pdf["graph"], strict=True) for r in _dominator_rows(int(e), [(int(x["src"]), int(x["dst"])) for x in g])]
+            yield pd.DataFrame(rows, columns=["qid", "node", "idom", "frontier"]).astype({"idom": "Int64"})
+
+    graphs = edges.groupBy("qid").agg(F.collect_list(F.struct("src", "dst")).alias("graph"))
+    rows = entries.select("qid", "entry").join(graphs, "qid", "left").withColumn("graph", F.coalesce("graph", F.array().cast("array<struct<src:bigint,dst:bigint>>")))
+    return rows.select("qid", "entry", "graph").mapInPandas(run, "qid string, node long, idom long, frontier array<long>")
+
+
+def _dominator_rows(start: int, edges: list[tuple[int, int]]) -> list[tuple]:
+    succ: dict[int, list[int]] = {}
+    for a, b in edges:
+        succ.setdefault(a, []).append(b)
+    order, met, open_nodes = [], {start}, [(start, iter(succ.get(start, ())))]
+    while open_nodes:  # post-order without recursion
+        at, rest = open_nodes[-1]
+        ahead = next((n for n in rest if n not in met), None)
+        if ahead is None:
+            order.append(at)
+            open_nodes.pop()
+        else:
+            met.add(ahead)
+            open_nodes.append((ahead, iter(succ.get(ahead, ()))))
+    place = {n: i for i, n in enumerate(order)}
+    pred: dict[int, set[int]] = {n: set() for n in order}
+    for n in order:
+        for s in succ.get(n, ()):
+            pred[s].add(n)
+    idom, moved = {start: start}, True
+    while moved:
+        moved = False
+        for n in reversed(order[:-1]):
+            best = None
             for p in pred[n]:
-                while p is not None and p != up[n]:
-                    frontier[p].add(n)
-                    p = up[p]
-        rows = [(pdf["qid"].iloc[0], n, up[n], sorted(frontier[n])) for n in sorted(order)]
-        return pd.DataFrame(rows, columns=["qid", "node", "idom", "frontier"]).astype({"idom": "Int64"})
-
-    roots = entries.select("qid", F.col("entry").alias("src"), F.lit(-1).cast("long").alias("dst"))
-    rows = edges.select("qid", "src", "dst").unionByName(roots).join(entries.select("qid", "entry"), "qid")
-    return rows.groupBy("qid").applyInPandas(run, "qid string, node long, idom long, frontier array<long>")
+                if p in idom:
+                    best = p if best is None else _meet(idom, place, best, p)
+            if idom.get(n) != best:
+                idom[n], moved = best, True
+    up = idom | {start: None}
+    frontier: dict[int, set[int]] = {n: set() for n in order}
+    for n in order:
+        for p in pred[n]:
+            while p is not None and p != up[n]:
+                frontier[p].add(n)
+                p = up[p]
+    return [(n, up[n], sorted(frontier[n])) for n in sorted(order)]
 
 
 def _meet(idom: dict[int, int], place: dict[int, int], a: int, b: int) -> int:

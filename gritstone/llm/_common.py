@@ -7,6 +7,7 @@ made only where the session names none (tests, notebooks).
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 import zlib
@@ -88,6 +89,26 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
 
 
+def small_batches(run):
+    """run(docs, ...) with Arrow batches of at most 1,000 rows and about 16 MB: a pivot's long text, repeated on the rows of its pairs,
+    doesn't fill a worker. Holds for what run itself executes; the session's settings are put back."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+    @functools.wraps(run)
+    def wrapped(docs: DataFrame, *args, **kwargs):
+        conf = docs.sparkSession.conf
+        before = {k: conf.get(k, None) for k in limits}
+        for k, v in limits.items():
+            conf.set(k, v)
+        try:
+            return run(docs, *args, **kwargs)
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
+
+    return wrapped
+
+
 # ---- Arrow batches -----------------------------------------------------------------------------
 
 

@@ -227,6 +227,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+@C.small_batches
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: int | None = None, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of documents linked at 100 * intersection >= percent * union."""
     spark = docs.sparkSession

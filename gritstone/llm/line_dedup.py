@@ -1,9 +1,14 @@
-"""Operator 10: line dedup by content-defined chunks of lines.
+"""Operator 10: line dedup by content-defined chunks of lines and by windows of LEAST_WORDS words.
 
 A rolling hash over the hashes of the last WINDOW lines decides after which lines a chunk ends (one line
-in DIVISOR, on average), so equal passages are cut alike wherever they stand; a chunk ends at
-MOST_LINES lines in any case. Chunks of LEAST_LINES lines or of LEAST_WORDS words count. A chunk that occurs
-more than once, anywhere, stays at its first place (least doc_id, then line) and goes elsewhere.
+in DIVISOR, on average), so equal passages are cut mostly alike wherever they stand; a chunk ends at
+MOST_LINES lines in any case. Chunks of LEAST_LINES lines or of LEAST_WORDS words count. What stands beside a passage
+moves its first and last cut, so windows are taken too: from each line that has words the fewest lines on, and the fewest
+lines back, that hold LEAST_WORDS words. They cover every line of any run of lines with LEAST_WORDS words (a line too near
+the run's end for a window on is in the window back from that end), so a repeated run goes whole, whatever its neighbours.
+A chunk or window that occurs more than once, anywhere, stays at its first place (least doc_id, then line) and goes
+elsewhere; a line that goes is left at an earlier place. A window has at most LEAST_WORDS lines with words, which bounds
+what is hashed and compared.
 
 Hashes only pick candidates: chunks of one hash are then grouped by their bytes, and only equal bytes are
 repeats. Counting sends (hash, place) without text and is combined before the shuffle; a fixed-size bitmap
@@ -17,6 +22,8 @@ pipeline drops those); an empty table gives no rows; other columns are kept by `
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,24 +39,47 @@ BASE = 1_000_003
 
 
 def chunks(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of each chunk of a text."""
+    """(first line, lines, bytes) of each chunk and window of a text, by first line."""
     data = text.encode()
     lines = data.split(b"\n")
-    recent, start, at, begin = [0] * WINDOW, 0, 0, 0
+    begin = [0, *itertools.accumulate(len(x) + 1 for x in lines)]
+    for s, e in sorted({*_cuts(lines), *_windows(lines)}):
+        yield s, e - s, data[begin[s] : begin[e] - 1]
+
+
+def _cuts(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(first line, line after the last) of each content-defined chunk."""
+    recent, start = [0] * WINDOW, 0
     for i, line in enumerate(lines):
-        at += len(line) + 1
         recent = [*recent[1:], xxhash.xxh3_64_intdigest(line)]
         rolling = 0
         for h in recent:
             rolling = (rolling * BASE + h) & 0xFFFFFFFFFFFFFFFF
         if (rolling >> 33) % DIVISOR == 0 or i - start + 1 >= MOST_LINES or i == len(lines) - 1:
-            yield start, i - start + 1, data[begin : at - 1]
-            start, begin = i + 1, at
+            yield start, i + 1
+            start = i + 1
+
+
+def _windows(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """The same of the windows on and back from each line with words; blank lines beside a window make one more with them."""
+    words = [len(x.split()) for x in lines]
+    full = [i for i, n in enumerate(words) if n]
+    total = [0, *itertools.accumulate(words[i] for i in full)]
+    for k, i in enumerate(full):
+        to = bisect.bisect_left(total, total[k] + LEAST_WORDS)  # words of full[k:to] are enough
+        if to <= len(full):
+            yield i, full[to - 1] + 1
+            if (gap := full[k - 1] + 1 if k else 0) < i:
+                yield gap, full[to - 1] + 1
+        of = bisect.bisect_right(total, total[k + 1] - LEAST_WORDS) - 1  # as are those of full[of:k + 1]
+        if of >= 0:
+            yield full[of], i + 1
+            if (gap := full[k + 1] if k + 1 < len(full) else len(lines)) > i + 1:
+                yield full[of], gap
 
 
 def _counts(lines: int, data: bytes) -> bool:
-    words = len(data.split())
-    return words > 0 and (lines >= LEAST_LINES or words >= LEAST_WORDS)
+    return (lines >= LEAST_LINES and bool(data.strip())) or len(data.split()) >= LEAST_WORDS
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +134,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of text, and two more columns: __lines_out and __chunks_out."""
+    """docs with repeated chunks taken out of text, and two more columns: __lines_out and __chunks_out (runs of lines that went)."""
     gone = repeats(docs).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("line", "lines")).alias("__gone"))
     rows = docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left")
     # the line numbers that go
@@ -112,7 +142,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__out", F.map_from_arrays(numbers, F.transform(numbers, lambda _: F.lit(True))))
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: F.element_at("__out", i).isNull())
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counts = [F.coalesce(F.size(c), F.lit(0)) for c in (F.when(F.col("__gone").isNotNull(), numbers), F.when(F.col("__gone").isNotNull(), F.col("__gone")))]
+    new_run = lambda a, x: F.struct((a["n"] + (x > a["at"] + 1).cast("int")).alias("n"), x.alias("at"))
+    runs = F.aggregate(F.array_sort(numbers), F.struct(F.lit(0).alias("n"), F.lit(-2).alias("at")), new_run, lambda a: a["n"])
+    counts = [F.coalesce(c, F.lit(0)) for c in (F.when(F.col("__gone").isNotNull(), F.size(numbers)), F.when(F.col("__gone").isNotNull(), runs))]
     return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.greatest(counts[0], F.lit(0)).cast("long").alias("__lines_out"), F.greatest(counts[1], F.lit(0)).cast("long").alias("__chunks_out"))
 
 

@@ -328,6 +328,22 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_line_dedup_takes_whole_passages_whatever_stands_beside(spark):
+    rng = random.Random(7)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(60)] for _ in range(10)] + [[line(rng.randrange(3, 20)) for _ in range(rng.randrange(5, 9))] + [line(45)] for _ in range(10)] + [[line(55), "", line(52), line(7)] for _ in range(5)]
+    rows, own, i = [], {}, 0
+    for p in passages:
+        for _ in range(3):
+            before, after = ([line(rng.randrange(4, 15)) for _ in range(rng.randrange(1, 4))] for _ in range(2))
+            rows.append((i, "\n".join([*before, *p, *after])))
+            own[i] = "\n".join([*before, *([] if i % 3 else p), *after])
+            i += 1
+    rows.append((i, "\n".join([line(9), *passages[10][:2], line(9)])))  # two lines under 50 words, which a chunk alone may hold
+    got = {r.doc_id: (r.text, r["__chunks_out"]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in own} == {k: (t, 1 if k % 3 else 0) for k, t in own.items()}
+
+
 # ---- pipeline ----
 
 

@@ -7,7 +7,8 @@ count only if the pairs are one-to-one, so a re-parameterised question is caught
 throughout by another) and a chance fit of templates is not. A document is contaminated by an item if
 the distinct windows that hit are half of the item's, or RUN words' worth of windows.
 
-Windows with fewer than LITERALS plain words are hashed by their own words, so text in capitals or tables of
+Every window is also hashed by its own words without case, so a copy in capitals or in lower case, whose names can't be told,
+hits as well. Windows with fewer than LITERALS plain words have that hash only, so different texts in capitals or tables of
 numbers don't match each other. Items shorter than a window are one window of their own width; items of fewer than LEAST
 words are not looked for. Items with the same words are one item, under the least item_id.
 
@@ -63,7 +64,8 @@ def canonical(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.A
 
 
 def template_windows(texts: pa.Array, widths: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
-    """For each width: (width, text, place in the text, first word, hash, code of each word's slot value or -1, values)."""
+    """For each width: (width, text, place in the text, first word, hash, code of each word's slot value or -1, values);
+    first by templates, where a window has the plain words for it, then all windows by their own words, without slots."""
     offsets, code, words = C.split_words(texts)
     kind, template, literal, values = canonical(words)
     plain = np.concatenate([[0], np.cumsum(kind[code] == LITERAL)])
@@ -71,14 +73,12 @@ def template_windows(texts: pa.Array, widths: tuple[int, ...]) -> Iterator[tuple
     t, own = template[code], literal[code]
     for width in widths:
         text, first = C.windows(offsets, width)
-        x = np.full(len(first), width, np.uint64)
-        y = np.full(len(first), width + 1000, np.uint64)
-        few = plain[first + width] - plain[first] < min(LITERALS, width)
-        at = np.flatnonzero(few)
-        for k in range(width):
-            x = C.mix(x * np.uint64(0x9E3779B97F4A7C15) + t[first + k])
-            y[at] = C.mix(y[at] * np.uint64(0x9E3779B97F4A7C15) + own[first[at] + k])
-        yield width, text, first - offsets[:-1][text], first, np.where(few, y, x).view(np.int64), slots, values
+        many = plain[first + width] - plain[first] >= min(LITERALS, width)
+        for text, first, word, seed, codes in ((text[many], first[many], t, width, slots), (text, first, own, width + 1000, np.full_like(slots, -1))):
+            x = np.full(len(first), seed, np.uint64)
+            for k in range(width):
+                x = C.mix(x * np.uint64(0x9E3779B97F4A7C15) + word[first + k])
+            yield width, text, first - offsets[:-1][text], first, x.view(np.int64), codes, values
 
 
 def _slot_lists(first: np.ndarray, width: int, slots: np.ndarray, values: pa.Array) -> pa.Array:
@@ -113,7 +113,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     items = items.withColumn("words", words).filter(F.size("words") >= LEAST)
     items = items.groupBy(F.array_join("words", " ").alias("text")).agg(F.min("item_id").alias("item_id"), F.first(F.size("words")).cast("long").alias("n_words"))
     windows = items.select("item_id", "n_words", "text").mapInArrow(_lister("item_id", tuple(range(LEAST, width + 1)), None, whole=True), f"item_id long, {_HIT}")
-    return windows.withColumn("n_windows", F.count("*").over(_by("item_id")))
+    return windows.withColumn("n_windows", F.size(F.collect_set("pos").over(_by("item_id"))).cast("long"))
 
 
 def _by(*keys: str):

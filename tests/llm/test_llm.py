@@ -297,6 +297,15 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.clean(docs, bench).count() == 4
 
 
+def test_decontamination_of_other_case(spark):
+    item = "When Tom met Mary in London they walked to Hyde Park and fed the ducks. Then Mary told Tom that Paris was far nicer in May"
+    docs = spark.createDataFrame([(1, item.upper()), (2, item.lower()), (3, "so " + item), (4, "QUITE ANOTHER TEXT IN CAPITALS THAT HAS AS MANY WORDS AS THE ITEM AND MORE OF THEM TO COME AT THE END OF IT")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for limit in (10**6, 0):
+        rows = decontaminate.contaminated(docs, bench, broadcast_hashes=limit).collect()
+        assert sorted((r.doc_id, r.item_id, r.coverage, r.reparameterised) for r in rows) == [(i, 7, 1.0, False) for i in (1, 2, 3)]
+
+
 def test_decontamination_finds_planted_items(spark):
     d = "/root/testdata/sf0.01"
     want = set(duckdb.sql(f"select doc_id, item_id from '{d}/documents.parquet' d join '{d}/benchmark.parquet' b on contains(d.text, b.text)").fetchall())

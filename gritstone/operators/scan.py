@@ -77,12 +77,22 @@ def custom_rule_window(spark: SparkSession, d: str, anchor: str = "[Ll]icensed u
 
 
 def contamination_match(spark: SparkSession, d: str, words: int = 8) -> DataFrame:
-    """Documents that hold an item's first words, found by a hash join on word windows."""
+    return passages_held(table(spark, d, "documents"), table(spark, d, "benchmark"), words)
+
+
+def passages_held(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
+    """doc_id, item_id of documents that hold an item's whole word sequence, case aside. A hash join on the item's first ``words`` words
+    (all of a shorter one) makes the candidates; those are compared over the item's length."""
     split = lambda c: F.filter(F.split(F.lower(c), r"[ \t\r\n]+"), lambda w: w != "")
-    items = table(spark, d, "benchmark").withColumn("w", split(F.col("text"))).filter(F.size("w") >= words).select("item_id", F.array_join(F.slice("w", 1, words), " ").alias("gram"))
-    docs = table(spark, d, "documents").withColumn("w", split(F.col("text"))).filter(F.size("w") >= words)
-    grams = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.array_join(F.slice("w", i, words), " "))).alias("gram"))
-    return grams.join(items, "gram").select("doc_id", "item_id").distinct()
+    items = items.withColumn("w", split(F.col("text"))).filter(F.size("w") > 0).select("item_id", F.array_join(F.slice("w", 1, words), " ").alias("gram"), F.array_join("w", " ").alias("item"), F.least(F.size("w"), F.lit(words)).alias("n"))
+    widths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most ``words`` numbers
+    docs = docs.withColumn("w", split(F.col("text"))).select("doc_id", "w")
+    at = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    grams = docs.select("doc_id", F.explode(F.concat(F.array().cast("array<string>"), *[at(n) for n in widths])).alias("gram"))
+    likely = grams.join(items, "gram").select("doc_id", "item_id", "item").distinct()
+    whole = docs.select(F.col("doc_id").alias("held_by"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("whole"))
+    both = likely.join(whole, likely["doc_id"].eqNullSafe(whole["held_by"]))
+    return both.filter(F.col("whole").contains(F.concat(F.lit(" "), "item", F.lit(" ")))).select("doc_id", "item_id").distinct()
 
 
 def code_imports(files: DataFrame) -> DataFrame:

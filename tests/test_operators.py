@@ -37,6 +37,14 @@ def test_taint_marks_sanitizers_and_stops_at_reassignment(spark):
     assert sorted(map(tuple, got)) == [("a", "c", True)]
 
 
+def test_passages_are_held_whole(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "Short item"), (3, " "), (4, None), (5, "p q r s t u v w")], "item_id long, text string")
+    texts = [(10, "x A b c d\ne f g h i j y"), (11, "a b c d e f g h and something else"), (12, "a short item"), (13, "shorter items"), (14, None), (15, "p q r s t u v w"), (None, "one short  item")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {tuple(r) for r in scan.passages_held(docs, items).collect()}
+    assert got == {(10, 1), (12, 2), (None, 2), (15, 5)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (5, 5)], "src long, dst long")
     assert {r.node: r.comp for r in graph.connected(edges).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 5: 5}

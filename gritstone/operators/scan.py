@@ -92,7 +92,9 @@ def passages_held(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFram
     likely = grams.join(items, "gram").select("doc_id", "item_id", "item").distinct()
     whole = docs.select(F.col("doc_id").alias("held_by"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("whole"))
     both = likely.join(whole, likely["doc_id"].eqNullSafe(whole["held_by"]))
-    return both.filter(F.col("whole").contains(F.concat(F.lit(" "), "item", F.lit(" ")))).select("doc_id", "item_id").distinct()
+    # marks may follow the last word without a blank, letters and digits may not
+    item = F.concat(F.lit(r" \Q"), F.replace(F.col("item"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E((?<![\p{L}\p{N}])|(?![\p{L}\p{N}]))"))
+    return both.filter(F.regexp_like("whole", item)).select("doc_id", "item_id").distinct()
 
 
 def code_imports(files: DataFrame) -> DataFrame:

@@ -1,13 +1,12 @@
 """Helpers shared by the training-data operators.
 
-Scratch data goes to the folder the session names in ``spark.checkpoint.dir``; a local folder is
-made only where the session names none (tests, notebooks).
+Scratch data goes to the folder the session names in ``spark.checkpoint.dir``; where it names none, a folder of this machine
+is made if all of Spark runs in this process, and anything else is refused.
 """
 
 from __future__ import annotations
 
 import contextlib
-import functools
 import tempfile
 import uuid
 import zlib
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass works on; bounds a Python worker's memory whatever the batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 # ---- tables and scratch space ------------------------------------------------------------------
@@ -35,6 +34,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="gritstone-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/gritstone/{name}-{uuid.uuid4().hex[:12]}"
@@ -63,6 +64,37 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def row_key() -> Column:
+    """With doc_id, tells rows of documents apart: rows of one id with different texts are different documents."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs (all columns) but those that gone (doc_id, row) names; a null id is like any other."""
+    names = gone.select(F.col("doc_id").alias("__gone_id"), F.col("row").alias("__gone_row")).distinct()
+    return docs.join(names, docs["doc_id"].cast("long").eqNullSafe(names["__gone_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == names["__gone_row"]), "left_anti")
+
+
+#: A key is hot with more than 1/HOT of a side's rows (and HOT_LEAST rows), so fewer than HOT keys are.
+HOT, HOT_LEAST = 4096, 128
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, on, how), inner or left, where right has one row a key. A hot key's row is broadcast, so its rows of
+    left stay where they are; the rest is shuffled. left is read three times: give it written."""
+    counts = left.groupBy(*on).agg(F.count("*").alias("__n"))
+    hot = counts.filter(F.col("__n") > max(left.count() // HOT, HOT_LEAST)).select(*on).collect()  # fewer than HOT rows
+    if not hot:
+        return left.join(right, on, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*on).schema))
+    return left.join(keys, on, "left_semi").join(F.broadcast(right.join(keys, on, "left_semi")), on, how).unionByName(left.join(keys, on, "left_anti").join(right.join(keys, on, "left_anti"), on, how))
+
+
+def few(df: DataFrame, limit: int = 4096) -> DataFrame:
+    """df marked for broadcast if it has at most ``limit`` rows, as it is otherwise."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 3; fold 1 is held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
@@ -89,26 +121,6 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
 
 
-def small_batches(run):
-    """run(docs, ...) with Arrow batches of at most 1,000 rows and about 16 MB: a pivot's long text, repeated on the rows of its pairs,
-    doesn't fill a worker. Holds for what run itself executes; the session's settings are put back."""
-    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
-
-    @functools.wraps(run)
-    def wrapped(docs: DataFrame, *args, **kwargs):
-        conf = docs.sparkSession.conf
-        before = {k: conf.get(k, None) for k in limits}
-        for k, v in limits.items():
-            conf.set(k, v)
-        try:
-            return run(docs, *args, **kwargs)
-        finally:
-            for k, v in before.items():
-                conf.unset(k) if v is None else conf.set(k, v)
-
-    return wrapped
-
-
 # ---- Arrow batches -----------------------------------------------------------------------------
 
 

@@ -1,31 +1,32 @@
-"""Operator 10: line dedup by content-defined chunks of lines and by windows of LEAST_WORDS words.
-
-A rolling hash over the hashes of the last WINDOW lines decides after which lines a chunk ends (one line
-in DIVISOR, on average), so equal passages are cut mostly alike wherever they stand; a chunk ends at
-MOST_LINES lines in any case. Chunks of LEAST_LINES lines or of LEAST_WORDS words count. What stands beside a passage
-moves its first and last cut, so windows are taken too: from each line that has words the fewest lines on, and the fewest
-lines back, that hold LEAST_WORDS words. They cover every line of any run of lines with LEAST_WORDS words (a line too near
-the run's end for a window on is in the window back from that end), so a repeated run goes whole, whatever its neighbours.
-A chunk or window that occurs more than once, anywhere, stays at its first place (least doc_id, then line) and goes
-elsewhere; a line that goes is left at an earlier place. A window has at most LEAST_WORDS lines with words, which bounds
-what is hashed and compared.
-
-Hashes only pick candidates: chunks of one hash are then grouped by their bytes, and only equal bytes are
+"""Operator 10: line dedup by content-defined chunks of lines.
+
+A rolling hash runs over the hashes of a text's lines; its window is two lines with words and the blank lines between
+them, or one line alone if it holds LEAST_WORDS words. The corpus decides where a chunk begins and ends: it goes on while
+the rolling hash is one that occurs at several places, so the cuts depend on what is repeated and neither on where a
+passage stands nor on what stands beside it. Every run of lines that is repeated and has two lines with words, or a line of
+LEAST_WORDS words, is therefore found whole. (Cuts by a divisor of the rolling hash, as for files, leave about half of such lines in
+place: the first and last cut of a passage depend on its neighbours, and passages of two lines mostly hold no whole chunk.)
+A window that occurs more than once, anywhere, stays at its first place (least doc_id, then hash of the text, then line), and its lines go
+elsewhere; a line that goes is left at an earlier place.
+
+Hashes only pick candidates: windows of one hash are then grouped by their bytes, and only equal bytes are
 repeats. Counting sends (hash, place) without text and is combined before the shuffle; a fixed-size bitmap
-of repeated hashes then lets only likely repeats' texts be sent for the comparison (as it fills up, more are).
+of repeated hashes then lets only likely repeats' bytes be sent for the comparison (as it fills up, more are). The places of a hash
+that many texts hold aren't brought together: its first place is broadcast.
 
-Defined cases: null and empty texts have no chunk and stay as they are; blank chunks don't count; repeated rows
+Defined cases: null and empty texts have no window and stay as they are; blank lines alone are no window, those inside a
+window go with it; rows of one doc_id with different texts are documents of their own; repeated rows
 of one doc_id and equal text share their places, so a passage is not a repeat of itself within such rows; rows with a null
-doc_id are never changed and are no occurrences; documents that lose all their lines have an empty text (the
-pipeline drops those); an empty table gives no rows; other columns are kept by ``dedup``.
+doc_id are never changed and are no occurrences; documents that lose all their lines with words keep the blank ones (the
+pipeline drops those documents); windows of one text may overlap, so a line said five times over stays once; an empty table gives no rows;
+other columns are kept by ``dedup``, whatever their names but for __lines_out and __chunks_out, which are replaced.
 """
 
 from __future__ import annotations
 
-import bisect
-import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,119 +34,106 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-WINDOW, DIVISOR, MOST_LINES = 2, 2, 64
-LEAST_LINES, LEAST_WORDS = 2, 50
-BASE = 1_000_003
-
-
-def chunks(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of each chunk and window of a text, by first line."""
-    data = text.encode()
-    lines = data.split(b"\n")
-    begin = [0, *itertools.accumulate(len(x) + 1 for x in lines)]
-    for s, e in sorted({*_cuts(lines), *_windows(lines)}):
-        yield s, e - s, data[begin[s] : begin[e] - 1]
-
-
-def _cuts(lines: list[bytes]) -> Iterator[tuple[int, int]]:
-    """(first line, line after the last) of each content-defined chunk."""
-    recent, start = [0] * WINDOW, 0
-    for i, line in enumerate(lines):
-        recent = [*recent[1:], xxhash.xxh3_64_intdigest(line)]
-        rolling = 0
-        for h in recent:
-            rolling = (rolling * BASE + h) & 0xFFFFFFFFFFFFFFFF
-        if (rolling >> 33) % DIVISOR == 0 or i - start + 1 >= MOST_LINES or i == len(lines) - 1:
-            yield start, i + 1
-            start = i + 1
-
-
-def _windows(lines: list[bytes]) -> Iterator[tuple[int, int]]:
-    """The same of the windows on and back from each line with words; blank lines beside a window make one more with them."""
-    words = [len(x.split()) for x in lines]
-    full = [i for i, n in enumerate(words) if n]
-    total = [0, *itertools.accumulate(words[i] for i in full)]
-    for k, i in enumerate(full):
-        to = bisect.bisect_left(total, total[k] + LEAST_WORDS)  # words of full[k:to] are enough
-        if to <= len(full):
-            yield i, full[to - 1] + 1
-            if (gap := full[k - 1] + 1 if k else 0) < i:
-                yield gap, full[to - 1] + 1
-        of = bisect.bisect_right(total, total[k + 1] - LEAST_WORDS) - 1  # as are those of full[of:k + 1]
-        if of >= 0:
-            yield full[of], i + 1
-            if (gap := full[k + 1] if k + 1 < len(full) else len(lines)) > i + 1:
-                yield full[of], gap
-
-
-def _counts(lines: int, data: bytes) -> bool:
-    return (lines >= LEAST_LINES and bool(data.strip())) or len(data.split()) >= LEAST_WORDS
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.slices(batches):
-        rows = [(i, s, n, xxhash.xxh3_64_intdigest(x) - (1 << 63)) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for s, n, x in chunks(t) if _counts(n, x)]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "line", "lines", "hash"])
-
-
-def _candidates(bitmap):
-    """Chunks whose hash the bitmap has, with their bytes."""
+LEAST_WORDS = 50
+BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+_BACK = pow(BASE, -1, 1 << 64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+
+
+class Lines:
+    """The windows of a batch of texts: first line (counted in its text), number of lines, text, rolling hash, and their bytes."""
+
+    def __init__(self, texts: pa.Array):
+        at, self.data = C.text_bytes(texts)
+        data = self.data
+        breaks = np.flatnonzero(data == 10)
+        starts = np.sort(np.concatenate([at[:-1], breaks + 1]))  # a text's own start comes first among equal ones
+        counts = np.diff(np.searchsorted(breaks, at)) + 1
+        text, first_line = np.repeat(np.arange(len(at) - 1), counts), np.cumsum(counts) - counts
+        ends = np.append(starts[1:] - 1, len(data))
+        ends[first_line[1:] - 1] = at[1:-1]  # no line break after a text's last line
+        gap = ~_SPACE[data]
+        word = gap.copy()
+        word[1:] &= ~gap[:-1]  # a word's first byte; a text's last word may touch the next one's first
+        word[at[:-1][np.diff(at) > 0]] = gap[at[:-1][np.diff(at) > 0]]
+        total = np.concatenate([[0], np.cumsum(word)])
+        words = total[ends] - total[starts]
+        raw = memoryview(data)
+        h = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+        full = np.flatnonzero(words)
+        a, b = full[:-1], full[1:]
+        pair = text[a] == text[b]
+        alone = full[words[full] >= LEAST_WORDS]
+        first, last = np.concatenate([a[pair], alone]), np.concatenate([b[pair], alone])
+        # prefix sums of h[i] / BASE^i: a window's hash is their difference times a power of BASE, whatever stands before it
+        n = np.arange(len(starts) + 1)
+        power, back = (np.cumprod(np.where(n > 0, np.uint64(x), np.uint64(1)), dtype=np.uint64) for x in (BASE, _BACK))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * back[:-1], dtype=np.uint64)])
+        self.hash = C.mix((sums[last + 1] - sums[first]) * power[last] + (last - first).astype(np.uint64)).view(np.int64)
+        self.text, self.line, self.lines = text[first], (first - first_line[text[first]]).astype(np.int32), (last - first + 1).astype(np.int32)
+        self.start, self.end = starts[first], ends[last]
+
+
+def _windows(columns: list[str], repeated=None):
+    """Places of the windows; with ``repeated`` only those whose hash the bitmap has, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for batch in C.slices(batches):
-            rows = []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for s, n, x in chunks(t):
-                    if _counts(n, x):
-                        h = xxhash.xxh3_64_intdigest(x) - (1 << 63)
-                        b = h % C.BITMAP_BITS
-                        if bits[b >> 3] >> (b & 7) & 1:
-                            rows.append((i, s, n, h, x))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "line", "lines", "hash", "bytes"])
+            w = Lines(batch.column("text"))
+            held = np.flatnonzero(C.in_bitmap(repeated.value, w.hash)) if repeated is not None else np.arange(len(w.hash))
+            take = pa.array(w.text[held])
+            cols = [batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(w.line[held]), pa.array(w.lines[held]), pa.array(w.hash[held])]
+            if repeated is not None:
+                raw = w.data.tobytes()
+                cols.append(pa.array([raw[s:e] for s, e in zip(w.start[held].tolist(), w.end[held].tolist(), strict=True)], pa.binary()))
+            yield pa.record_batch(cols, columns)
 
     return run
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, line, lines of every occurrence of a chunk after its first."""
+    """doc_id, row, line, lines of every occurrence of a window after its first."""
     spark = docs.sparkSession
-    texts = C.doc_texts(docs).filter("doc_id is not null and text <> ''")
-    place = F.struct("doc_id", "line")
-    places = C.save(texts.mapInArrow(_places, "doc_id long, line int, lines int, hash long"), C.scratch(spark, "lines-places"))
+    texts = C.doc_texts(docs).filter("doc_id is not null and text <> ''").withColumn("row", C.row_key())
+    place, names = F.struct("doc_id", "row", "line"), ["doc_id", "row", "line", "lines", "hash"]
+    schema = "doc_id long, row long, line int, lines int, hash long"
+    places = C.save(texts.mapInArrow(_windows(names), schema), places_at := C.scratch(spark, "lines-places"))
     often = places.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("hash")
     bitmap = spark.sparkContext.broadcast(C.bitmap(often, "hash"))
-    found = texts.mapInArrow(_candidates(bitmap), "doc_id long, line int, lines int, hash long, bytes binary")
+    found = texts.mapInArrow(_windows([*names, "bytes"], bitmap), f"{schema}, bytes binary")
     # the comparison: equal hash and equal bytes
-    equal = found.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).select("hash", F.xxhash64("bytes", F.lit(1)).alias("check"), "first", "last")
-    equal = C.save(equal, C.scratch(spark, "lines-equal"))
+    equal = found.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).select("hash", "first", "last")
+    equal = C.save(equal, equal_at := C.scratch(spark, "lines-equal"))
     clash = equal.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    single = equal.filter("first <> last").join(clash, "hash", "left_anti").select("hash", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
-    again = places.join(single, "hash").filter("doc_id <> first_doc or line <> first_line").select("doc_id", "line", "lines")
-    if clash.isEmpty():
-        return again.distinct()
-    # texts that share a hash but not their bytes are told apart by their bytes
-    both = found.join(clash, "hash")
-    own = both.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
-    apart = both.join(own, ["hash", "bytes"]).filter(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line", "lines")
-    return again.union(apart).distinct()
+    single = equal.filter("first <> last").join(clash, "hash", "left_anti").select("hash", "first")
+    again = C.spread_join(places, single, ["hash"]).filter(place != F.col("first")).select("doc_id", "row", "line", "lines")
+    if not clash.isEmpty():
+        # texts that share a hash but not their bytes are told apart by their bytes
+        both = found.join(clash, "hash")
+        own = both.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
+        again = again.union(both.join(own, ["hash", "bytes"]).filter(place != F.col("first")).select("doc_id", "row", "line", "lines"))
+    again = C.save(again.distinct(), C.scratch(spark, "lines-again"))
+    C.drop(spark, places_at, equal_at)
+    return again
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks taken out of text, and two more columns: __lines_out and __chunks_out (runs of lines that went)."""
-    gone = repeats(docs).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("line", "lines")).alias("__gone"))
-    rows = docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left")
+    gone = repeats(docs).groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "lines")).alias("gone"))  # at most two windows a line of one text
+    docs = docs.drop("__lines_out", "__chunks_out")
+    # own columns side by side with docs in structs, so that no name clashes
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("row")).join(gone, ["doc_id", "row"], "left")
     # the line numbers that go
-    numbers = F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g["line"], g["line"] + g["lines"] - 1))))
-    rows = rows.withColumn("__out", F.map_from_arrays(numbers, F.transform(numbers, lambda _: F.lit(True))))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: F.element_at("__out", i).isNull())
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["line"], g["line"] + g["lines"] - 1)))))
+    rows = rows.select("d", numbers.alias("numbers")).withColumn("lines", F.when(F.col("numbers").isNotNull(), F.split("d.text", "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "numbers")
+    kept = F.transform(stay, lambda i: F.get("lines", i))
+    text = F.when(F.col("numbers").isNull(), F.col("d.text")).otherwise(F.array_join(kept, "\n"))
     new_run = lambda a, x: F.struct((a["n"] + (x > a["at"] + 1).cast("int")).alias("n"), x.alias("at"))
-    runs = F.aggregate(F.array_sort(numbers), F.struct(F.lit(0).alias("n"), F.lit(-2).alias("at")), new_run, lambda a: a["n"])
-    counts = [F.coalesce(c, F.lit(0)) for c in (F.when(F.col("__gone").isNotNull(), F.size(numbers)), F.when(F.col("__gone").isNotNull(), runs))]
-    return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.greatest(counts[0], F.lit(0)).cast("long").alias("__lines_out"), F.greatest(counts[1], F.lit(0)).cast("long").alias("__chunks_out"))
+    runs = F.aggregate("numbers", F.struct(F.lit(0).alias("n"), F.lit(-2).alias("at")), new_run, lambda a: a["n"])
+    counts = [F.coalesce(F.when(F.col("numbers").isNotNull(), c), F.lit(0)).cast("long") for c in (F.size("numbers"), runs)]
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns], counts[0].alias("__lines_out"), counts[1].alias("__chunks_out"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,23 +7,26 @@ group of the first and a group of the second, so side*side tables of 2*rows mini
 
 1. Sketch: one row per document with the set's size and hash and the two collections.
 2. Classes: documents with equal sets become one class before any key is made.
-3. Buckets: classes that share a key; of buckets with the same members the first table's stays.
+3. Buckets: classes that share a key; of buckets with the same members (their number and 128 bits of hashes) the first table's stays.
 4. Star rounds: in each bucket that holds more than one component, every class is compared with one pivot on
    full sets, first with any and then with the one that holds the fewest rare shingles. Links are closed to components.
+   A pivot's pairs are cut into parts of at most PART pairs, each with the pivot's text once.
 5. Rest: pairs of a bucket that are still in different components. With Q any set of shingles, two sets
    share at most min(|u & Q|, |v & Q|) shingles inside Q, so a pair can only be linked if that, with the shingles
    that it shares outside Q, is enough. Q holds the shingles that RARE or more classes have; the others
-   are joined (under RARE classes each), and pairs that need no rare shingle are found by their counts alone. What
-   passes is compared on full sets.
+   are joined (under RARE classes each), and pairs that need no rare shingle are found by their counts alone: in each
+   bucket, the members outside its largest component meet its members, part by part. What passes is compared on full sets.
 
 No candidate is dropped, and a group of thousands of near copies costs about its size, not the square.
 
 The side is the least at which a pair at the threshold shares no key with a probability of MISS at
-most: 8 at 0.85 and 10 at 0.8, with two minima a group.
+most: 8 at 0.85 and 10 at 0.8, with two minima a group; a threshold that needs more than 255 is refused.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; a text with
-fewer words than a shingle is one shingle of all its words; repeated rows share their class; a null
-doc_id gets a null component and is kept; an empty table gives no rows; other columns are ignored.
+fewer words than a shingle is one shingle of all its words; repeated rows share their class; rows of one doc_id with
+different texts are documents of their own (row, a hash of the text, tells them apart): kept says that the id is the
+component's least, stays that the row is the one of its component to stay, of equal ids the least row; equal rows stay or go together; a null
+doc_id gets a null component and stays; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +44,9 @@ from . import _common as C
 
 ROWS, MISS = 2, 1e-4
 RARE = 8
+PART = 256  # pairs of a pivot, or members of a bucket, that are handled together
 _KEYS = "key long, set_id binary, n long"
-_SKETCH = "doc_id long, n_shingles long, set_id binary, a array<long>, b array<long>"
+_SKETCH = "doc_id long, row long, n_shingles long, set_id binary, a array<long>, b array<long>"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,24 +104,24 @@ def _sketcher(width: int, side: int, rows: int):
             a, b = collections(offsets, shingles, side, rows) if len(shingles) else (np.empty((0, side), np.uint64),) * 2
             at = np.concatenate([[0], np.cumsum((n > 0) * side)])
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n), pa.array(_set_ids(offsets, shingles), pa.binary()), C.list_array(at, a.ravel().view(np.int64), pa.int64()), C.list_array(at, b.ravel().view(np.int64), pa.int64())],
-                ["doc_id", "n_shingles", "set_id", "a", "b"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(_set_ids(offsets, shingles), pa.binary()), C.list_array(at, a.ravel().view(np.int64), pa.int64()), C.list_array(at, b.ravel().view(np.int64), pa.int64())],
+                ["doc_id", "row", "n_shingles", "set_id", "a", "b"],
             )
 
     return run
 
 
 def _keys(side: int, wanted):
-    """Table keys of classes: every pair of groups of the two collections; a key's low byte is its table."""
+    """Table keys of classes: every pair of groups of the two collections; a key's low 16 bits are its table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, side) for c in "ab")
             pairs = C.mix(a[:, :, None] * np.uint64(0x9E3779B97F4A7C15) + b[:, None, :]).reshape(-1, side * side)
-            key = ((pairs << np.uint64(8)) | np.arange(side * side, dtype=np.uint64)).view(np.int64).ravel()
+            key = ((pairs << np.uint64(16)) | np.arange(side * side, dtype=np.uint64)).view(np.int64).ravel()
             row = np.repeat(np.arange(batch.num_rows), side * side)
             if wanted is not None:
-                held = C.in_bitmap(wanted.value, key >> 8)
+                held = C.in_bitmap(wanted.value, key >> 16)
                 key, row = key[held], row[held]
             row = pa.array(row)
             yield pa.record_batch([pa.array(key), batch.column("set_id").take(row), batch.column("n").take(row)], ["key", "set_id", "n"])
@@ -127,59 +131,59 @@ def _keys(side: int, wanted):
 
 def side_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
     """Groups in a collection; a pair needs an equal group in both."""
-    return min(15, max(1, math.ceil(math.log(miss / 2) / math.log(1 - min(percent / 100, 0.99) ** rows))))
+    side = max(1, math.ceil(math.log(miss / 2) / math.log(1 - min(percent / 100, 0.99) ** rows)))
+    if side > 255:
+        raise ValueError(f"{percent} % needs {side} groups a collection; a table's number has room for 255")
+    return side
 
 
 def sketch(docs: DataFrame, width: int, side: int, rows: int = ROWS) -> DataFrame:
-    return C.doc_texts(docs).mapInArrow(_sketcher(width, side, rows), _SKETCH)
+    return _rows(docs).mapInArrow(_sketcher(width, side, rows), _SKETCH)
 
 
-def _among(wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(C.in_bitmap(wanted.value, batch.column("h").to_numpy()))).select(["doc_id", "text"])
-
-    return run
+def _rows(docs: DataFrame) -> DataFrame:
+    return C.doc_texts(docs).withColumn("row", C.row_key())
 
 
-def _own(width: int):
-    """Rows whose text has the set that it is taken for."""
-
+def _among(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches):
-            own = [a == b for a, b in zip(_set_ids(*shingle_sets(batch.column("text"), width)), batch.column("set_id").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(own, pa.bool_())).select(["set_id", "text"])
+        for batch in batches:
+            yield batch.filter(pa.array(C.in_bitmap(wanted.value, batch.column("h").to_numpy()))).select(["doc_id", "row", "text"])
 
     return run
 
 
 def _comparer(width: int):
-    """(p, m, p_text, m_text) to (p, m, inter, total); rows of one p follow one another."""
+    """(p, m, text) to (p, m, inter, total): a row without m holds p's text, and the rows of p after it its partners'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
-        for batch in C.slices(batches, "m_text"):
+        mine = None
+        for batch in C.slices(batches):
             p, m = batch.column("p").to_pylist(), batch.column("m").to_pylist()
-            offsets, shingles = shingle_sets(batch.column("m_text"), width)
+            offsets, shingles = shingle_sets(batch.column("text"), width)
             out = []
             for i in range(batch.num_rows):
-                if p[i] != last:
-                    _, mine = shingle_sets(batch.column("p_text").slice(i, 1), width)
-                    last = p[i]
-                other = shingles[offsets[i] : offsets[i + 1]]
-                both = len(np.intersect1d(other, mine, assume_unique=True))
-                out.append((p[i], m[i], both, len(mine) + len(other) - both))
-            cols = list(zip(*out, strict=True))
-            yield pa.record_batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["p", "m", "inter", "total"])
+                own = shingles[offsets[i] : offsets[i + 1]]
+                if m[i] is None:
+                    mine = own.copy()
+                    continue
+                both = int((mine[np.minimum(np.searchsorted(mine, own), len(mine) - 1)] == own).sum())
+                out.append((p[i], m[i], both, len(mine) + len(own) - both))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["p", "m", "inter", "total"])
 
     return run
 
 
 def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """inter and total (intersection and union) of the full sets of pairs (p, m) of classes; texts: (set_id, text)."""
-    side = lambda c: texts.select(F.col("set_id").alias(c), F.col("text").alias(f"{c}_text"))
-    rows = pairs.select("p", "m").join(side("m"), "m").join(side("p"), "p").sortWithinPartitions("p")
-    return rows.select("p", "m", "p_text", "m_text").mapInArrow(_comparer(width), "p binary, m binary, inter long, total long")
+    """inter and total (intersection and union) of the full sets of distinct pairs (p, m) of classes; texts: (set_id, text), one row
+    a class. pairs is read several times: give it written."""
+    parts = pairs.groupBy("p").agg(F.ceil(F.count("*") / PART).alias("parts")).filter("parts > 1")
+    pairs = pairs.withColumn("part", F.lit(0).cast("long")) if parts.isEmpty() else C.spread_join(pairs, parts, ["p"], "left").select("p", "m", F.expr("coalesce(pmod(xxhash64(m), parts), 0)").alias("part"))
+    members = pairs.join(texts.withColumnRenamed("set_id", "m"), "m").select("p", "part", "m", "text")
+    pivots = pairs.select("p", "part").distinct().join(texts.withColumnRenamed("set_id", "p"), "p").select("p", "part", F.lit(None).cast("binary").alias("m"), "text")
+    rows = members.union(pivots).repartition("p", "part").sortWithinPartitions("p", "part", F.asc_nulls_first("m"))
+    return rows.select("p", "m", "text").mapInArrow(_comparer(width), "p binary, m binary, inter long, total long")
 
 
 def _slots(width: int):
@@ -227,108 +231,122 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-@C.small_batches
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: int | None = None, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of documents linked at 100 * intersection >= percent * union."""
+    """doc_id, row, n_shingles, component_id, kept and stays of documents linked at 100 * intersection >= percent * union."""
     spark = docs.sparkSession
     side = side or side_for(percent, rows)
-    C_ = lambda name: C.scratch(spark, f"near-{name}")
-    sketches = C.save(sketch(docs, width, side, rows), C_("sketch"))
-    # one class per distinct set; copies are combined before the shuffle
-    classes = C.save(
-        sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), C_("classes")
-    )
-    tables = classes.select("set_id", "n", "a", "b")
-    keys = tables.mapInArrow(_keys(side, None), _KEYS)
-    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("set_id")).alias("who")).filter("members > 1")
-    shared = C.save(shared.groupBy("members", "who").agg(F.min(F.struct(F.expr("key & 255").alias("t"), "key")).alias("first")).select("first.key"), C_("keys"))
-    wanted = spark.sparkContext.broadcast(C.bitmap(shared.select(F.shiftright("key", 8).alias("h")), "h"))  # most keys are one class's and go nowhere
-    members = C.save(tables.mapInArrow(_keys(side, wanted), _KEYS).join(shared, "key"), C_("members"))
     spent: list[str] = []
+    round_spent: list[str] = []
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        """Saved until the round ends."""
-        spent.append(C_(name))
-        return C.save(df, spent[-1])
+    def keep(df: DataFrame, name: str, all_along: bool = False) -> DataFrame:
+        """Saved until the round, or the whole operator, ends."""
+        paths = spent if all_along else round_spent
+        paths.append(C.scratch(spark, f"near-{name}"))
+        return C.save(df, paths[-1])
 
     def clear() -> None:
-        C.drop(spark, *spent)
-        spent.clear()
+        C.drop(spark, *round_spent)
+        round_spent.clear()
 
-    # a text for each class of a bucket; the set's hash tells it from other rows of that doc_id
-    where = members.select("set_id").distinct().join(classes.select("set_id", "doc_id"), "set_id")
-    named = F.xxhash64("doc_id").alias("h")
+    sketches = keep(sketch(docs, width, side, rows), "sketch", True)
+    # one class per distinct set; copies are combined before the shuffle
+    full = sketches.filter("n_shingles > 0 and doc_id is not null")
+    classes = keep(full.groupBy("set_id").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "classes", True)
+    sketches = keep(sketches.select("doc_id", "row", "n_shingles", "set_id"), "sets", True)
+    C.drop(spark, spent.pop(0))
+    tables = classes.select("set_id", "n", "a", "b")
+    keys = tables.mapInArrow(_keys(side, None), _KEYS)
+    who = [F.bit_xor(F.xxhash64("set_id")).alias("who"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("also")]
+    shared = keys.groupBy("key").agg(F.count("*").alias("members"), *who).filter("members > 1")
+    shared = keep(shared.groupBy("members", "who", "also").agg(F.min(F.struct(F.expr("key & 65535").alias("t"), "key")).alias("first")).select("first.key"), "keys")
+    wanted = spark.sparkContext.broadcast(C.bitmap(shared.select(F.shiftright("key", 16).alias("h")), "h"))  # most keys are one class's and go nowhere
+    members = keep(tables.mapInArrow(_keys(side, wanted), _KEYS).join(shared, "key"), "members", True)
+    clear()
+    # a text for each class of a bucket
+    where = members.select("set_id").distinct().join(classes.select("set_id", "first.doc_id", "first.row"), "set_id")
+    named = F.xxhash64("doc_id", "row").alias("h")
     wanted = spark.sparkContext.broadcast(C.bitmap(where.select(named), "h"))  # most other texts stay where they are
-    rows = C.doc_texts(docs).select("doc_id", "text", named).mapInArrow(_among(wanted), "doc_id long, text string")
-    rows = where.join(rows, "doc_id").mapInArrow(_own(width), "set_id binary, text string")  # repeated rows give equal pairs
-    texts = C.save(rows, C_("texts"))
+    found = _rows(docs).select("doc_id", "row", "text", named).mapInArrow(_among(wanted), "doc_id long, row long, text string")
+    found = found.groupBy("doc_id", "row").agg(F.first("text").alias("text"))  # repeated rows
+    texts = keep(where.join(found, ["doc_id", "row"]).select("set_id", "text"), "texts", True)
     fits = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
     link = f"100 * inter >= {percent} * total"
-    labels = members.select(F.col("set_id").alias("node"), F.col("set_id").alias("comp")).distinct()
+    labels = keep(members.select(F.col("set_id").alias("node"), F.col("set_id").alias("comp")).distinct(), "labels", True)
 
-    def state() -> DataFrame:
-        """Members of buckets that hold more than one component."""
-        rows = keep(members.join(labels.withColumnRenamed("node", "set_id"), "set_id"), "state")
-        return rows.join(rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"), "key")
+    def state(name: str) -> DataFrame:
+        """Members of buckets, with their components."""
+        return keep(members.join(labels.withColumnRenamed("node", "set_id"), "set_id"), name)
+
+    def several(rows: DataFrame, *more: Column) -> DataFrame:
+        """The buckets of rows that hold more than one component."""
+        return rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *more).filter("c0 <> c1").drop("c0", "c1")
 
     def joined(links: DataFrame, name: str) -> DataFrame:
         """Labels after links (p, m) of classes."""
         ends = labels.withColumnRenamed("comp", "u")
         edges = links.join(ends.withColumnRenamed("node", "p"), "p").join(ends.select(F.col("node").alias("m"), F.col("u").alias("v")), "m").filter("u <> v")
         tops = components(edges, name).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        return C.save(labels.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), C_(f"{name}-labels"))
+        return keep(C.spread_join(labels, tops, ["comp"], "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{name}-labels", True)
 
     def star(rows: DataFrame, order: Column, name: str) -> DataFrame:
-        """Labels after every class of a bucket is compared with the bucket's pivot, the last in order."""
-        pivots = rows.groupBy("key").agg(F.max_by(F.struct("set_id", "n", "comp"), F.struct(order, F.xxhash64("set_id"))).alias("pivot"))
-        pairs = rows.join(pivots, "key").filter("comp <> pivot.comp").filter(fits.format("n", "pivot.n")).select(F.col("pivot.set_id").alias("p"), F.col("set_id").alias("m")).distinct()
-        return joined(keep(compare(pairs, texts, width).filter(link), f"{name}-links"), name)
+        """Labels after every class of a bucket is compared with the bucket's pivot, the last in order. rows: written."""
+        pivots = several(rows, F.max_by(F.struct("set_id", "n", "comp"), F.struct(order, F.xxhash64("set_id"))).alias("pivot"))
+        pairs = C.spread_join(rows, pivots, ["key"]).filter("comp <> pivot.comp").filter(fits.format("n", "pivot.n")).select(F.col("pivot.set_id").alias("p"), F.col("set_id").alias("m")).distinct()
+        return joined(keep(compare(keep(pairs, f"{name}-pairs"), texts, width).filter(link), f"{name}-links"), name)
 
-    labels = star(state(), F.lit(0), "near-star")
+    labels = star(state("state"), F.lit(0), "near-star")
     clear()
-    left = C.save(state(), C_("open"))
+    rows = state("open")
+    left = keep(C.spread_join(rows, several(rows), ["key"]), "left")
     if not left.isEmpty():
         mine = texts.join(left.select("set_id").distinct(), "set_id", "left_semi")
         often = mine.select("text").mapInArrow(_slots(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= RARE)
         common = spark.sparkContext.broadcast(C.bitmap(often, "slot"))
-        parts = C.save(mine.mapInArrow(_rare(width, common), "set_id binary, inside long, outside array<long>"), C_("parts"))
+        parts = keep(mine.mapInArrow(_rare(width, common), "set_id binary, inside long, outside array<long>"), "parts", True)
 
-        def core(rows: DataFrame) -> DataFrame:
+        def core(rows: DataFrame, name: str) -> DataFrame:
             """Members that common shingles alone may link, of buckets where such are in different components."""
-            rows = rows.select("key", "set_id", "n", "comp").join(parts.select("set_id", "inside"), "set_id").filter(f"100 * inside >= {percent} * n")
-            return rows.join(rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"), "key")
+            rows = keep(rows.select("key", "set_id", "n", "comp").join(parts.select("set_id", "inside"), "set_id").filter(f"100 * inside >= {percent} * n"), f"{name}-all")
+            return keep(C.spread_join(rows, several(rows), ["key"]), name)
 
-        labels = star(core(left), F.col("inside") / F.col("n"), "near-core")
+        labels = star(core(left, "core"), F.col("inside") / F.col("n"), "near-core")
         clear()
-        left = C.save(state(), C_("rest"))
+        rows = state("rest")
+        left = keep(C.spread_join(rows, several(rows), ["key"]), "rest-left")
         enough = f"100 * {{0}} >= {percent} * (un + vn - {{0}})"
         end = lambda x: [F.col(c).alias(f"{x}{c[0]}") for c in ("set_id", "n", "comp", "inside")]
-        apart = F.expr("us < vs and uc <> vc") & F.expr(fits.format("un", "vn"))
-        # pairs that common shingles alone may link, each in the first of the tables that hold both
-        rows = core(left).join(classes.select("set_id", "a", "b"), "set_id")
-        first = " and ".join(f"({t} <= {k} or u_{c}[{k}] <> v_{c}[{k}])" for t, c in ((f"(key & 255) div {side}", "a"), (f"(key & 255) % {side}", "b")) for k in range(side))
-        both = [rows.select("key", *end(x), F.col("a").alias(f"{x}_a"), F.col("b").alias(f"{x}_b")) for x in "uv"]
-        alike = both[0].join(both[1], "key").filter(apart & F.expr(enough.format("least(ui, vi)")) & F.expr(first)).select("us", "vs")
+        apart = F.expr("uc <> vc") & F.expr(fits.format("un", "vn"))
+        # pairs that common shingles alone may link, each in the first of the tables that hold both: who is not of a bucket's
+        # largest component meets the bucket's members
+        rows = core(left, "rest-core")
+        largest = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.ceil(F.sum("n") / PART).alias("parts"))
+        rows = C.spread_join(rows, largest, ["key"]).join(classes.select("set_id", "a", "b"), "set_id")
+        side_of = lambda rows, x, *more: rows.select("key", *end(x), F.col("a").alias(f"{x}_a"), F.col("b").alias(f"{x}_b"), *more)
+        outside = side_of(rows.filter("comp <> top"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        inside = side_of(rows, "v", F.expr("pmod(xxhash64(set_id), parts)").alias("part"), "top")
+        first = " and ".join(f"({t} <= {k} or u_{c}[{k}] <> v_{c}[{k}])" for t, c in ((f"(key & 65535) div {side}", "a"), (f"(key & 65535) % {side}", "b")) for k in range(side))
+        alike = outside.join(inside, ["key", "part"]).filter(apart & F.expr("vc = top or us < vs") & F.expr(enough.format("least(ui, vi)")) & F.expr(first)).selectExpr("least(us, vs) as p", "greatest(us, vs) as m")
         # pairs that share rare ones
         rows = left.select("set_id", "n", "comp").distinct().join(parts.select("set_id", "inside", F.explode("outside").alias("shingle")), "set_id")
-        shared = rows.select("shingle", *end("u")).join(rows.select("shingle", *end("v")), "shingle").filter(apart)
-        shared = shared.groupBy("us", "vs").agg(F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("un", "vn", "ui", "vi")]).filter(enough.format("(least(ui, vi) + both)")).select("us", "vs")
-        rest = C.save(alike.union(shared).distinct().select(F.col("us").alias("p"), F.col("vs").alias("m")), C_("pairs"))
+        both = rows.select("shingle", *end("u")).join(rows.select("shingle", *end("v")), "shingle").filter(apart & F.expr("us < vs"))
+        both = both.groupBy("us", "vs").agg(F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("un", "vn", "ui", "vi")]).filter(enough.format("(least(ui, vi) + both)")).selectExpr("us as p", "vs as m")
+        rest = keep(alike.union(both).distinct(), "pairs")
         labels = joined(keep(compare(rest, texts, width).filter(link), "rest-links"), "near-rest")
         clear()
     # a component's id is its least document
-    named = classes.select("set_id", "doc_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(least, "comp").filter("component_id <> doc_id").select("set_id", "component_id")
-    own = classes.select("set_id", F.col("doc_id").alias("class_doc"))
-    moved = own.join(ids, "set_id", "left").select("set_id", F.coalesce("component_id", "class_doc").alias("component_id"))
-    placed = sketches.select("doc_id", "n_shingles", "set_id").join(moved, "set_id", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = keep(classes.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")), "named")
+    tops = C.spread_join(named.select("set_id", "comp"), named.groupBy("comp").agg(F.min("first").alias("top")), ["comp"]).select("set_id", "top")
+    placed = C.save(C.spread_join(sketches, tops, ["set_id"], "left"), C.scratch(spark, "near-placed"))
+    clear()
+    C.drop(spark, *spent)
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id"))
+    placed = placed.select("doc_id", "row", "n_shingles", component.alias("component_id"), (alone | (F.struct("doc_id", "row") == F.col("top"))).alias("stays"))
+    return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(C.table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_duplicates(C.table(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE = r"""

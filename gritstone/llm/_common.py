@@ -83,9 +83,11 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     """left.join(right, on, how), inner or left, where right has one row a key. A hot key's row is broadcast, so its rows of
     left stay where they are; the rest is shuffled. left is read three times: give it written."""
     counts = left.groupBy(*on).agg(F.count("*").alias("__n"))
-    hot = counts.filter(F.col("__n") > max(left.count() // HOT, HOT_LEAST)).select(*on).collect()  # fewer than HOT rows
-    if not hot:
+    rows, most = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
+    least = max(rows // HOT, HOT_LEAST)
+    if most <= least:
         return left.join(right, on, how)
+    hot = counts.filter(F.col("__n") > least).select(*on).collect()  # fewer than HOT rows
     keys = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*on).schema))
     return left.join(keys, on, "left_semi").join(F.broadcast(right.join(keys, on, "left_semi")), on, how).unionByName(left.join(keys, on, "left_anti").join(right.join(keys, on, "left_anti"), on, how))
 

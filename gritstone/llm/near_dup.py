@@ -282,7 +282,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
         return rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *more).filter("c0 <> c1").drop("c0", "c1")
 
     def joined(links: DataFrame, name: str) -> DataFrame:
-        """Labels after links (p, m) of classes."""
+        """Labels after links (p, m) of classes. links: written."""
+        if links.isEmpty():
+            return labels
         ends = labels.withColumnRenamed("comp", "u")
         edges = links.join(ends.withColumnRenamed("node", "p"), "p").join(ends.select(F.col("node").alias("m"), F.col("u").alias("v")), "m").filter("u <> v")
         tops = components(edges, name).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
@@ -292,7 +294,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
         """Labels after every class of a bucket is compared with the bucket's pivot, the last in order. rows: written."""
         pivots = several(rows, F.max_by(F.struct("set_id", "n", "comp"), F.struct(order, F.xxhash64("set_id"))).alias("pivot"))
         pairs = C.spread_join(rows, pivots, ["key"]).filter("comp <> pivot.comp").filter(fits.format("n", "pivot.n")).select(F.col("pivot.set_id").alias("p"), F.col("set_id").alias("m")).distinct()
-        return joined(keep(compare(keep(pairs, f"{name}-pairs"), texts, width).filter(link), f"{name}-links"), name)
+        return linked(keep(pairs, f"{name}-pairs"), name)
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Labels after the pairs (p, m) are compared. pairs: written."""
+        return labels if pairs.isEmpty() else joined(keep(compare(pairs, texts, width).filter(link), f"{name}-links"), name)
 
     labels = star(state("state"), F.lit(0), "near-star")
     clear()
@@ -309,16 +315,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
             rows = keep(rows.select("key", "set_id", "n", "comp").join(parts.select("set_id", "inside"), "set_id").filter(f"100 * inside >= {percent} * n"), f"{name}-all")
             return keep(C.spread_join(rows, several(rows), ["key"]), name)
 
-        labels = star(core(left, "core"), F.col("inside") / F.col("n"), "near-core")
-        clear()
-        rows = state("rest")
-        left = keep(C.spread_join(rows, several(rows), ["key"]), "rest-left")
+        most = core(left, "core")
+        if not most.isEmpty():
+            labels = star(most, F.col("inside") / F.col("n"), "near-core")
+            rows = state("rest")
+            left = keep(C.spread_join(rows, several(rows), ["key"]), "rest-left")
+            most = core(left, "rest-core")
         enough = f"100 * {{0}} >= {percent} * (un + vn - {{0}})"
         end = lambda x: [F.col(c).alias(f"{x}{c[0]}") for c in ("set_id", "n", "comp", "inside")]
         apart = F.expr("uc <> vc") & F.expr(fits.format("un", "vn"))
         # pairs that common shingles alone may link, each in the first of the tables that hold both: who is not of a bucket's
         # largest component meets the bucket's members
-        rows = core(left, "rest-core")
+        rows = most
         largest = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.ceil(F.sum("n") / PART).alias("parts"))
         rows = C.spread_join(rows, largest, ["key"]).join(classes.select("set_id", "a", "b"), "set_id")
         side_of = lambda rows, x, *more: rows.select("key", *end(x), F.col("a").alias(f"{x}_a"), F.col("b").alias(f"{x}_b"), *more)
@@ -330,9 +338,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
         rows = left.select("set_id", "n", "comp").distinct().join(parts.select("set_id", "inside", F.explode("outside").alias("shingle")), "set_id")
         both = rows.select("shingle", *end("u")).join(rows.select("shingle", *end("v")), "shingle").filter(apart & F.expr("us < vs"))
         both = both.groupBy("us", "vs").agg(F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("un", "vn", "ui", "vi")]).filter(enough.format("(least(ui, vi) + both)")).selectExpr("us as p", "vs as m")
-        rest = keep(alike.union(both).distinct(), "pairs")
-        labels = joined(keep(compare(rest, texts, width).filter(link), "rest-links"), "near-rest")
-        clear()
+        rest = both if most.isEmpty() else alike.union(both).distinct()
+        labels = linked(keep(rest, "pairs"), "near-rest")
+    clear()
     # a component's id is its least document
     named = keep(classes.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")), "named")
     tops = C.spread_join(named.select("set_id", "comp"), named.groupBy("comp").agg(F.min("first").alias("top")), ["comp"]).select("set_id", "top")

@@ -6,7 +6,9 @@
 4. decontaminate: documents that hold a benchmark item go.
 5. pieces: SentencePiece ids of what is left, with a check that they decode to the text.
 
-All but the last stage return the columns of documents. Rows with a null doc_id pass stages 2 to 4 as they are.
+All but the last stage return the columns of documents. Documents are told apart by doc_id and text: of rows of one doc_id with
+different texts each is judged by its own, and equal rows stay or go together. Rows with a null doc_id pass stages 2 and 3 as they are.
+A null text is empty: the classifier judges it, and what it keeps passes the other stages. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup(docs).filter("__lines_out = 0 or trim(text) <> ''")
+    rows = line_dedup.dedup(docs).filter((F.col("__lines_out") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" not in docs.columns:
+        return rows.select(*docs.columns)
     size = F.when(F.col("__lines_out") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return rows.withColumn("n_chars", size).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dup.near_duplicates(docs, width=5, percent=80).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return C.without(docs, near_dup.near_duplicates(docs, width=5, percent=80).filter("not stays"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

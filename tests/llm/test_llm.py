@@ -316,15 +316,15 @@ def test_decontamination_finds_planted_items(spark):
 
 
 def without_repeats(rows):
+    """Every later occurrence of two lines with words (and the blank ones between), or of one line of 50 words, goes."""
     first, out = {}, {}
     for i, t in sorted(set(rows)):
-        gone = set()
-        for s, n, b in line_dedup.chunks(t):
-            if line_dedup._counts(n, b):
-                if b in first and first[b] != (i, s):
-                    gone |= set(range(s, s + n))
-                first.setdefault(b, (i, s))
-        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        lines, gone = t.split("\n"), set()
+        full = [k for k, x in enumerate(lines) if WORD.search(x)]
+        for s, e in sorted([*itertools.pairwise(full), *((k, k) for k in full if len(WORD.findall(lines[k])) >= 50)]):
+            if first.setdefault("\n".join(lines[s : e + 1]), (i, s, e)) != (i, s, e):
+                gone |= set(range(s, e + 1))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
@@ -348,11 +348,31 @@ def test_line_dedup_takes_whole_passages_whatever_stands_beside(spark):
             rows.append((i, "\n".join([*before, *p, *after])))
             own[i] = "\n".join([*before, *([] if i % 3 else p), *after])
             i += 1
-    rows.append((i, "\n".join([line(9), *passages[10][:2], line(9)])))  # two lines under 50 words, which a chunk alone may hold
+    rows.append((i, "\n".join([line(9), *passages[10][:2], line(9)])))  # two lines under 50 words
     got = {r.doc_id: (r.text, r["__chunks_out"]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k: got[k] for k in own} == {k: (t, 1 if k % 3 else 0) for k, t in own.items()}
 
 
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    p = "one line of it\nand one more of it"
+    rows = [(1, p), (2, p), (2, "keep one\nkeep two\nkeep three\nkeep four"), (None, p), (3, None), (3, ""), (4, "keep one\n \nkeep two"), (5, "single line\n" + p.split("\n")[0]), (6, "\n" + p + "\n"), (6, "\n" + p + "\n")]
+    docs = spark.createDataFrame([(i, t, i, "x", 0) for i, t in rows], "doc_id long, text string, row long, gone string, __lines_out int")
+    got = line_dedup.dedup(docs)
+    assert got.columns == ["doc_id", "text", "row", "gone", "__lines_out", "__chunks_out"]
+    assert sorted([(r.doc_id, r.text, r["__lines_out"]) for r in got.collect()], key=str) == sorted([(1, p, 0), (2, "", 2), (2, rows[2][1], 0), (None, p, 0), (3, None, 0), (3, "", 0), (4, rows[6][1], 0), (5, rows[7][1], 0), (6, "\n", 2), (6, "\n", 2)], key=str)
+
+
+def test_line_dedup_recall(spark):
+    """Lines inside runs of two lines with words that stand elsewhere too, first place excepted: none stays."""
+    d = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"select doc_id, text from '{d}/documents.parquet' where text is not null").fetchall()
+    got = {r.doc_id: r.n_lines_removed for r in line_dedup.op10_line_dedup(spark, d).collect()}
+    want = {i: t.count("\n") + 1 for i, t in rows}
+    for i, t in without_repeats(rows).items():
+        want[i] -= t.count("\n") + 1 if t else 0
+    assert sum(want.values()) > 1000 and {i: got[i] for i in want if rows} == want
+
+
 # ---- pipeline ----
 
 

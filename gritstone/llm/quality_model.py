@@ -1,18 +1,19 @@
 """Operator 4: quality classifier on random-indexing word vectors.
 
 Words are runs of letters, runs of digits, runs of one symbol, and line ends, of the raw text; each
-is hashed to a row of a fixed table, and a word said again just after itself goes to a row of its
-own. Random indexing: every row has a sparse ternary index vector,
-and a row's context vector is the sum of the index vectors of its neighbours. A document is the mean
+is hashed to one of ROWS rows of a fixed table (words may share a row; bytes of a word after the 4,096th share one multiplier of the hash),
+and a word said again just after itself goes to a row of its own. Random indexing: every row has a sparse ternary index vector,
+and a row's context vector is the sum of the index vectors of its neighbours, over all documents of the corpus: tasks sum
+tables of ROWS x DIMS numbers, which are added up in steps of at most FAN tables a task. A document is the mean
 of the unit context vectors of its words. A two-layer numpy network scores it, and a temperature,
-fitted on a part of the training rows that the network has not seen, calibrates the probability.
+fitted on a part of the training rows that the network has not seen, calibrates the probability to the labels' own shares.
 
-Fitting uses at most ``sample`` labelled rows (those with the least hash of doc_id), outside the
-held-out fold. The tables that are broadcast have a fixed size: ROWS x DIMS floats and the network.
+The network is fitted on at most ``sample`` labelled documents (those with the least hash of doc_id), outside the
+held-out fold, one text for each doc_id. The tables that are broadcast have a fixed size: ROWS x DIMS floats and the network.
 
 Defined cases: null text is empty, and an empty text has the zero vector and gets its score like any
-other; labels that are null are not used; without any usable label, or with one class only, all
-documents get that class's share (0.5 without labels); repeated rows get equal scores; a null doc_id
+other; labels that are null, and ids with both labels, are not used; of several texts of one labelled doc_id the one with the least hash is; without
+any usable label, or with one class only, all documents get that class's share (0.5 without labels); repeated rows get equal scores; a null doc_id
 is scored; an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ from . import _common as C
 SAMPLE = 12_000
 ROWS, DIMS, NONZERO, REACH = 1 << 14, 64, 4, 2
 HIDDEN, EPOCHS, BATCH, SEED = 32, 40, 128, 20240229
-BLOCKS = 16
+BLOCKS, FAN = 16, 64
 AGAIN, RECENT = 0, 4  # the row of a word that equals one of the RECENT words before it
+CONTEXT_SLICE = 2 << 20  # text bytes whose neighbours are counted at a time
 PIECE = 1 << 15  # words of one document that are summed at a time
 
 _KIND = np.full(256, 4, np.uint8)  # bytes above 127 are parts of letters here
@@ -53,9 +56,12 @@ def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     new[0], new[1:] = True, (kind[1:] != kind[:-1]) | ((kind[1:] == 4) & (data[1:] != data[:-1])) | (kind[1:] == 3)
     new[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(new)
-    place = np.minimum(np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))), len(_MULT) - 1)
-    # runs of a symbol count by their kind, not their length
-    value = np.where((kind == 4) & (place > 0), np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * _MULT[place])
+    place = np.arange(len(data), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(data))))
+    np.minimum(place, len(_MULT) - 1, out=place)
+    value = _MULT[place]
+    value *= data.astype(np.uint64) + np.uint64(1)
+    value[(kind == 4) & (place > 0)] = 0  # runs of a symbol count by their kind, not their length
     h = C.mix(np.add.reduceat(value, starts))
     held = kind[starts] != 0
     at, rows = np.searchsorted(starts[held], offsets), 1 + (h[held] >> np.uint64(40)).astype(np.int64) % (ROWS - 1)
@@ -72,30 +78,51 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def context_sums(offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sum of the index vectors of all words within REACH in the same text, for each row."""
+    """Sum of the index vectors of all words within REACH in the same text, for each row: first how often each row has each
+    other beside it, then the index vectors of the distinct pairs."""
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    pairs = [rows[step:][same] * ROWS + rows[:-step][same] for step in range(1, REACH + 1) for same in [text[step:] == text[:-step]]]
+    pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+    a, b = pair // ROWS, pair % ROWS
     place, sign = index_vectors()
     total = np.zeros(ROWS * DIMS)
-    for step in range(1, REACH + 1):
-        same = text[step:] == text[:-step]
-        a, b = rows[step:][same], rows[:-step][same]
-        for x, y in ((a, b), (b, a)):
-            for k in range(NONZERO):
-                total += np.bincount(x * DIMS + place[y, k], weights=sign[y, k], minlength=ROWS * DIMS)
+    for x, y in ((a, b), (b, a)):
+        for k in range(NONZERO):
+            total += np.bincount(x * DIMS + place[y, k], weights=sign[y, k] * n, minlength=ROWS * DIMS)
     return total.reshape(ROWS, DIMS)
 
 
 def _context_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((ROWS, DIMS))
-    for batch in C.slices(batches):
+    total, part = np.zeros((ROWS, DIMS)), pyspark.TaskContext.get().partitionId()
+    for batch in C.slices(batches, limit=CONTEXT_SLICE):
         total += context_sums(*word_rows(batch.column("text")))
     blocks = total.astype(np.int64).reshape(BLOCKS, -1)
-    yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "sums"])
-
-
-def _add_blocks(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in rows.column("sums").to_pylist())
-    return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+    yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([part] * BLOCKS, pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "part", "sums"])
+
+
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each (block, part) of a partition, batch by batch."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for block, part, sums in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("sums"), strict=True):
+            x = np.frombuffer(sums.as_buffer(), np.int64)
+            total[block, part] = total[block, part] + x if (block, part) in total else x.copy()
+    yield pa.record_batch([pa.array([b for b, _ in total], pa.int32()), pa.array([p for _, p in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "part", "sums"])
+
+
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """The unit context vectors, from all texts."""
+    schema = "block int, part int, sums binary"
+    sums = C.save(C.doc_texts(docs).select("text").mapInArrow(_context_blocks, schema), at := C.scratch(docs.sparkSession, "quality-contexts"), compression="zstd")
+    parts = 1 + (sums.agg(F.max("part")).first()[0] or 0)
+    while parts > 1:
+        parts = -(-parts // FAN)
+        sums = sums.withColumn("part", F.expr(f"cast(part div {FAN} as int)")).repartition(parts * BLOCKS, "block", "part").mapInArrow(_add_blocks, schema)
+    total = np.zeros((BLOCKS, ROWS * DIMS // BLOCKS))
+    for r in sums.collect():  # ROWS x DIMS numbers
+        total[r["block"]] += np.frombuffer(r["sums"], np.int64)
+    C.drop(docs.sparkSession, at)
+    return unit(total.reshape(ROWS, DIMS))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -139,7 +166,7 @@ class Net:
 
 
 def fit_net(x: np.ndarray, y: np.ndarray) -> Net:
-    """Adam on balanced cross-entropy; the temperature by a grid on rows kept apart."""
+    """Adam on cross-entropy; the temperature by a grid on rows kept apart."""
     if len(set(y.tolist())) < 2:
         p = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
         return Net(np.zeros(DIMS), np.ones(DIMS), np.zeros((DIMS, 1)), np.zeros(1), np.zeros(1), float(np.log(p / (1 - p))))
@@ -150,15 +177,13 @@ def fit_net(x: np.ndarray, y: np.ndarray) -> Net:
     z = (x - mean) / scale
     p = [rng.normal(0, DIMS**-0.5, (DIMS, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    share = np.clip(y[train].mean(), 0.01, 0.99)
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     for epoch in range(EPOCHS):
         rate = 0.01 * 0.93**epoch
         shuffled = rng.permutation(train)
         for s in range(0, len(train), BATCH):
             i = shuffled[s : s + BATCH]
             h = np.tanh(z[i] @ p[0] + p[1])
-            g = (1 / (1 + np.exp(-(h @ p[2] + p[3]))) - y[i]) * weight[i] / len(i)
+            g = (1 / (1 + np.exp(-(h @ p[2] + p[3]))) - y[i]) / len(i)
             gh = np.outer(g, p[2]) * (1 - h * h)
             grads, t = [z[i].T @ gh + 1e-5 * p[0], gh.sum(0), h.T @ g + 1e-5 * p[2], np.array([g.sum()])], t + 1
             for k, d in enumerate(grads):
@@ -166,8 +191,8 @@ def fit_net(x: np.ndarray, y: np.ndarray) -> Net:
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     net = Net(mean, scale, p[0], p[1], p[2], float(p[3][0]))
     if len(apart):
-        logits, w = net.logits(x[apart]), weight[apart]
-        loss = lambda T: float((w * np.logaddexp(0, np.where(y[apart] == 1, -1, 1) * logits / T)).sum())
+        logits = net.logits(x[apart])
+        loss = lambda T: float(np.logaddexp(0, np.where(y[apart] == 1, -1, 1) * logits / T).sum())
         net.temperature = min(np.geomspace(0.25, 16, 49), key=loss)
     return net
 
@@ -195,13 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     """(word vectors, network), learnt from labelled rows of the folds 0 and 2."""
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(C.fold(F.col("doc_id")) != 1)
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "label").limit(sample)  # bounded by the parameter, so it may be broadcast
-    texts = C.save(C.doc_texts(docs).join(F.broadcast(chosen), "doc_id").repartition(BLOCKS, "doc_id"), at := C.scratch(spark, "quality-sample"))
-    sums = texts.coalesce(4).mapInArrow(_context_blocks, "block int, sums binary").groupBy("block").applyInArrow(_add_blocks, "block int, sums binary").collect()  # ROWS x DIMS numbers
-    total = np.zeros((BLOCKS, ROWS * DIMS // BLOCKS))
-    for r in sums:
-        total[r["block"]] = np.frombuffer(r["sums"], np.int64)
-    vectors = unit(total.reshape(ROWS, DIMS))
+    usable = usable.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").select("doc_id", "label")
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by the parameter, so it may be broadcast
+    rows = C.doc_texts(docs).join(F.broadcast(chosen), "doc_id")
+    texts = C.save(rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(C.row_key(), "text")).alias("text")), at := C.scratch(spark, "quality-sample"))  # a row a doc_id
+    vectors = context_vectors(docs)
     shared = spark.sparkContext.broadcast(vectors)
     got = texts.mapInArrow(_pooler(shared), "doc_id long, label int, x binary").collect()  # sample rows of DIMS floats
     got = sorted(got, key=lambda r: (r["doc_id"], r["label"], r["x"]))

@@ -7,7 +7,8 @@ document's prediction is the softmax of its windows' mean log-probability, each
 letter bytes it holds.
 
 Training uses windows of at most ``sample`` documents outside the held-out fold (those with the least
-hash of doc_id) with a non-null lang, at most PER_DOC windows of each, spread over the text.
+hash of doc_id and text) with a non-null lang, at most ``per_doc`` windows of each, spread over the text; equal rows are one document.
+Both bounds are parameters and hold for the training sample alone.
 
 Defined cases: null texts and texts without any letter are ``und`` with score 0; without any training
 row every document is ``und``; repeated rows get equal predictions; a null doc_id is predicted; an empty
@@ -126,23 +127,29 @@ def fit_net(windows: np.ndarray, label: np.ndarray, langs: list[str]) -> Net:
     return net
 
 
-def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.slices(batches):
-        text, windows = cut(batch.column("text"))
-        n = np.bincount(text, minlength=batch.num_rows)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        # PER_DOC windows spread evenly from the first to the last
-        held = (nth * PER_DOC // np.maximum(n[text], 1) != (nth - 1) * PER_DOC // np.maximum(n[text], 1)) | (n[text] <= PER_DOC)
-        held &= _LETTER[windows].sum(axis=1) >= 16
-        yield pa.record_batch([batch.column("lang").take(pa.array(text[held])), pa.array([w.tobytes() for w in windows[held]], pa.binary())], ["lang", "bytes"])
+def _training_windows(per_doc: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            text, windows = cut(batch.column("text"))
+            n = np.bincount(text, minlength=batch.num_rows)
+            nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+            # per_doc windows spread evenly from the first to the last
+            held = (nth * per_doc // np.maximum(n[text], 1) != (nth - 1) * per_doc // np.maximum(n[text], 1)) | (n[text] <= per_doc)
+            held &= _LETTER[windows].sum(axis=1) >= 16
+            yield pa.record_batch([batch.column("lang").take(pa.array(text[held])), pa.array([w.tobytes() for w in windows[held]], pa.binary())], ["lang", "bytes"])
+
+    return run
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
+def fit(docs: DataFrame, sample: int = SAMPLE, per_doc: int = PER_DOC) -> Net | None:
     """Learn from text and lang of the folds 0 and 2; None without a training row."""
     spark = docs.sparkSession
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null").filter(C.fold(F.col("doc_id")) != 1)
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(sample)  # bounded by the parameter
-    rows = usable.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(_training_windows, "lang string, bytes binary").orderBy("lang", "bytes").collect()  # at most PER_DOC windows a document
+    key = ["doc_id", "row", "lang"]
+    usable = usable.withColumn("row", C.row_key())
+    chosen = usable.select(*key).distinct().orderBy(F.xxhash64(*key), *key).limit(sample)  # bounded by the parameter
+    rows = usable.join(F.broadcast(chosen), key).groupBy(*key).agg(F.first("text").alias("text"))  # equal rows are one
+    rows = rows.select("lang", "text").mapInArrow(_training_windows(per_doc), "lang string, bytes binary").orderBy("lang", "bytes").collect()  # at most sample x per_doc windows
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None

@@ -1,19 +1,24 @@
 """Operator 6: quality rules with an n-gram perplexity model.
 
 Base rules count words, symbols, repeated lines and repeated 3-word windows of the whole text. The
-method adds perplexity: Spark counts all character n-grams of all documents by language, builds an
+method adds perplexity: Spark counts all character n-grams of the documents that pass the base rules, by language, builds an
 interpolated modified Kneser-Ney model from them (continuation counts for the lower orders, three
 discounts for each language and order), and stores it as sorted arrays of 64-bit n-gram hashes with
-log-probabilities beside them. A language's median and median absolute deviation of log-perplexity,
-over all documents that pass the base rules, set its lower and upper band; documents outside go.
+log-probabilities beside them. No document explains itself: documents are dealt into two halves by a hash of their text
+(copies together), each half has its own model, and a document is scored by the other half's.
+
+Bands are a language's median log-perplexity and DEVIATIONS scaled median absolute deviations below and above it, over the documents
+that pass the base rules; documents outside go. Short texts scatter more, so both are taken by the number of words
+(to a power of two) where a language has CLASS_LEAST documents of that size. Elsewhere they are the whole language's, and the deviation is
+the larger one of that and of the one that falls with the root of the number of words.
 
 Units are characters (digits alike, white space alike), so the model grows slowly with the corpus. Its
-size is checked: up to ``broadcast_rows`` n-grams it is broadcast; beyond that the documents' n-grams
-are joined with the model's table, with the same result.
+size is checked: up to ``broadcast_rows`` n-grams it is broadcast, hashed on the executors, so that the driver sees numbers only; beyond
+that the documents' n-grams are joined with the model's table. Both add the same log-probabilities, the one as 32-bit, the other as 64-bit numbers.
 
 Defined cases: null texts count as empty, have no perplexity and fail the base rules; a null lang is a
-language of its own; repeated rows get equal rows; a null doc_id is kept as it is; an empty table gives
-no rows; other columns are ignored.
+language of its own; a language whose other half is empty has the same perplexity for all its documents of a half; repeated rows get equal rows; a null
+doc_id is kept as it is; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +35,12 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 ORDER = 4
-BROADCAST_ROWS = 4_000_000  # 48 MB of hashes and log-probabilities
-DEVIATIONS = 8.0  # half-width of a band, in scaled median absolute deviations
-LEAST_WIDTH = 0.05  # in log-perplexity, for languages whose documents are all alike
+BROADCAST_ROWS = 4_000_000  # 64 MB of hashes, log-probabilities and weights
+DEVIATIONS = 3.5  # half-width of a band, in scaled median absolute deviations
+LEAST_WIDTH = 0.03  # of that half, in log-perplexity, for documents that are all alike
+LANGUAGES = 4096  # a table with a row for each of so many is broadcast
+CLASS_LEAST = 30  # documents of a language and size from which they have a band of their own
+LEAST_WORDS, MOST_REPEATED = 50, 50  # base rules: words, and percent of them in repeated windows
 BOS = 2
 GRAM_SLICE = 1 << 20  # text bytes whose n-grams are held at a time
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -46,19 +54,25 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 # ---- base rules --------------------------------------------------------------------------------
 
 
-def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
-    texts = pc.fill_null(texts, "")
-    at, data = C.text_bytes(texts)
-    word_bytes = ~_SPACE[data] & ((data & 0xC0) != 0x80)  # a code point's first byte
+def word_counts(texts: pa.Array) -> dict[str, np.ndarray]:
+    """n_words and n_repeat_words."""
     offsets, code, words = C.split_words(texts)
     h = C.hashes(words)[code] if len(code) else np.empty(0, np.uint64)
     text, first = C.windows(offsets, 3)
     key = C.mix(C.mix(C.mix(h[first]) + h[first + 1]) + h[first + 2] + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) if len(first) else np.empty(0, np.uint64)
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    again = first[counts[inverse] > 1] if len(first) else first
+    coded = pa.array(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    again = first[np.bincount(coded)[coded] > 1] if len(first) else first
     covered = np.zeros(len(code), np.int64)
     for k in range(3):
         covered[again + k] = 1
+    return {"n_words": np.diff(offsets), "n_repeat_words": C.segment_sums(covered, offsets)}
+
+
+def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
+    texts = pc.fill_null(texts, "")
+    at, data = C.text_bytes(texts)
+    word_bytes = ~_SPACE[data] & ((data & 0xC0) != 0x80)  # a code point's first byte
+    words = word_counts(texts)
     lines = []
     for t in texts.to_pylist():
         seen, n = set(), 0
@@ -69,11 +83,11 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
                 seen.add(line)
         lines.append(n)
     return {
-        "n_words": np.diff(offsets),
+        "n_words": words["n_words"],
         "word_chars": C.segment_sums(word_bytes, at),
         "n_symbols": C.segment_sums(_SYMBOL[data], at),
         "n_dup_lines": np.array(lines, np.int64),
-        "n_repeat_words": C.segment_sums(covered, offsets),
+        "n_repeat_words": words["n_repeat_words"],
     }
 
 
@@ -102,6 +116,16 @@ def lang_hash(langs: list[str | None]) -> np.ndarray:
     return C.hashes(pa.array([x or _NO_LANG for x in langs], pa.string()), seed=1)
 
 
+def halves(texts: pa.Array) -> np.ndarray:
+    """0 or 1 for each text."""
+    return (C.hashes(pc.fill_null(texts, ""), seed=2) >> np.uint64(40)).astype(np.int64) & 1
+
+
+def model_names(langs: list[str | None], half: np.ndarray) -> list[str]:
+    """The name under which a half of a language is counted."""
+    return [f"{h}{x or _NO_LANG}" for x, h in zip(langs, half.tolist(), strict=True)]
+
+
 def grams(texts: pa.Array, langs: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text of each n-gram, place of its first code point, the code points, its hash)."""
     offsets, points = symbols(texts, order)
@@ -126,18 +150,20 @@ def _decode(points: np.ndarray, first: np.ndarray, order: int) -> list[str]:
 def _counter(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, limit=GRAM_SLICE):
-            langs = batch.column("lang").to_pylist()
-            text, first, points, h = grams(batch.column("text"), langs, order)
+            words = word_counts(batch.column("text"))
+            batch = batch.filter(pa.array((words["n_words"] >= LEAST_WORDS) & (100 * words["n_repeat_words"] <= MOST_REPEATED * words["n_words"])))
+            names = model_names(batch.column("lang").to_pylist(), halves(batch.column("text")))
+            text, first, points, h = grams(batch.column("text"), names, order)
             if not len(h):
                 continue
             code, some = distinct(h)
-            yield pa.record_batch([pa.array([langs[i] or _NO_LANG for i in text[some]], pa.string()), pa.array(_decode(points, first[some], order), pa.string()), pa.array(np.bincount(code))], ["lang", "gram", "n"])
+            yield pa.record_batch([pa.array([names[i] for i in text[some]], pa.string()), pa.array(_decode(points, first[some], order), pa.string()), pa.array(np.bincount(code))], ["lang", "gram", "n"])
 
     return run
 
 
 def count(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, c) over all documents."""
+    """(lang, gram, c) over all documents that pass the base rules; lang names a language and half."""
     return docs.select("lang", "text").mapInArrow(_counter(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("c"))
 
 
@@ -160,7 +186,8 @@ def _discount(c: str) -> Column:
 
 def build(counts: DataFrame, order: int) -> tuple[DataFrame, list[str]]:
     """(lang, gram, logp, back): the log-probability of a gram's last character after the others, and the weight
-    that the gram, as a context, leaves to shorter ones. Grams of all orders; also the scratch paths."""
+    that the gram, as a context, leaves to shorter ones. Grams of all orders (start marks alone are contexts without
+    a probability); also the scratch paths."""
     spark, paths = counts.sparkSession, []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -170,9 +197,11 @@ def build(counts: DataFrame, order: int) -> tuple[DataFrame, list[str]]:
     tables = {order: kept(counts, "counts")}
     for k in range(order - 1, 0, -1):
         tables[k] = kept(tables[k + 1].groupBy("lang", F.expr("substr(gram, 2)").alias("gram")).agg(F.count("*").alias("c")), f"order{k}")
+    # a row a language, so it goes to all tasks while there are few of them
+    small = F.broadcast if tables[1].select("lang").distinct().limit(LANGUAGES + 1).count() <= LANGUAGES else lambda df: df
     lower, contexts, probs = None, {}, {}
     for k in range(1, order + 1):
-        discounts = _discounts(tables[k])
+        discounts = small(_discounts(tables[k]))
         rows = tables[k].join(discounts, "lang").withColumn("ctx", F.expr(f"substr(gram, 1, {k - 1})"))
         left = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum(_discount("c")).alias("taken"))
         rows = rows.join(left, ["lang", "ctx"])
@@ -183,28 +212,40 @@ def build(counts: DataFrame, order: int) -> tuple[DataFrame, list[str]]:
         p = (F.col("c") - _discount("c")) / F.col("total") + F.col("taken") / F.col("total") * F.col("under")
         lower = probs[k] = kept(rows.select("lang", "gram", p.alias("p")), f"p{k}")
         contexts[k] = left.select("lang", F.col("ctx").alias("gram"), F.log(F.col("taken") / F.col("total")).alias("back"))
-    parts = [probs[k].select("lang", "gram", F.log("p").alias("logp")).join(contexts[k + 1], ["lang", "gram"], "left") if k < order else probs[k].select("lang", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("back")) for k in probs]
+    parts = [probs[k].select("lang", "gram", F.log("p").alias("logp")).join(contexts[k + 1], ["lang", "gram"], "full") if k < order else probs[k].select("lang", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("back")) for k in probs]
     # the empty context: what an unseen character gets, and what is left to it
-    floor = _discounts(tables[1]).select("lang", F.lit("").alias("gram"), F.log(1.0 / (F.col("types") + 1)).alias("logp")).join(contexts[1], ["lang", "gram"], "left")
+    floor = _discounts(tables[1]).select("lang", F.lit("").alias("gram"), F.log(1.0 / (F.col("types") + 1)).alias("logp")).join(small(contexts[1]), ["lang", "gram"], "left")
     return kept(reduce(DataFrame.unionByName, [floor, *parts]), "model"), paths
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the model's table as numbers."""
+    for batch in batches:
+        size = pc.utf8_length(batch.column("gram")).to_numpy()
+        langs = batch.column("lang").dictionary_encode()
+        lang = lang_hash(langs.dictionary.to_pylist())[langs.indices.to_numpy(zero_copy_only=False)] if len(size) else np.empty(0, np.uint64)
+        h = np.empty(len(size), np.uint64)
+        for k in np.unique(size).tolist():
+            i = np.flatnonzero(size == k)
+            points = np.frombuffer("".join(batch.column("gram").take(pa.array(i)).to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(i), k)
+            h[i] = gram_hashes(lang[i], [points[:, j] for j in range(k)])
+        yield pa.record_batch([pa.array(size.astype(np.int8)), pa.array(h.view(np.int64)), batch.column("logp").cast(pa.float32()), pc.fill_null(batch.column("back"), 0.0).cast(pa.float32())], ["size", "hash", "logp", "back"])
+
+
 class SortedModel:
     """For each order, ascending n-gram hashes with log-probabilities and backoff weights."""
 
     def __init__(self, rows: pa.Table, order: int):
         self.order, self.at = order, {}
-        size = pc.utf8_length(rows.column("gram")).to_numpy()
-        langs = rows.column("lang").to_pylist()
-        known = dict(zip(sorted(set(langs)), lang_hash(sorted(set(langs))), strict=True))
-        lang = np.array([known[x] for x in langs], np.uint64)
-        gram, logp, back = (rows.column(c) for c in ("gram", "logp", "back"))
+        size, h, logp, back = (rows.column(c).to_numpy() for c in ("size", "hash", "logp", "back"))
         for k in range(order + 1):
             i = np.flatnonzero(size == k)
-            data = np.frombuffer("".join(gram.take(pa.array(i)).to_pylist()).encode("utf-32-le"), np.uint32).reshape(len(i), k)
-            h = gram_hashes(lang[i], [data[:, j] for j in range(k)])
-            o = np.argsort(h)
-            self.at[k] = (h[o], logp.to_numpy()[i][o].astype(np.float32), np.nan_to_num(pc.fill_null(back, 0.0).to_numpy()[i][o]).astype(np.float32))
+            i = i[np.argsort(h[i].view(np.uint64))]
+            self.at[k] = (h[i].view(np.uint64), logp[i], np.nan_to_num(back[i]))
+
+    @classmethod
+    def of(cls, model: DataFrame, order: int) -> SortedModel:
+        return cls(model.select("lang", "gram", "logp", "back").mapInArrow(_hashed, "size byte, hash long, logp float, back float").toArrow(), order)
 
     def find(self, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = self.at[k][0]
@@ -217,6 +258,7 @@ class SortedModel:
         for k in range(self.order, -1, -1):
             last = [points[left, j] for j in range(self.order - k, self.order)]
             hit, i = self.find(k, gram_hashes(lang[left], last))
+            hit &= ~np.isnan(self.at[k][1][i]) if len(self.at[k][1]) else False
             out[left[hit]] += self.at[k][1][i[hit]]
             left = left[~hit]
             if k and len(left):
@@ -235,7 +277,7 @@ def _scorer(model, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, limit=GRAM_SLICE):
             base = base_counts(batch.column("text"))
-            langs = batch.column("lang").to_pylist()
+            langs = model_names(batch.column("lang").to_pylist(), 1 - halves(batch.column("text")))
             text, first, points, h = grams(batch.column("text"), langs, order)
             n, total = np.bincount(text, minlength=batch.num_rows), np.zeros(batch.num_rows)
             if len(h):
@@ -258,12 +300,12 @@ def _joined(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, limit=1 << 20):
-            langs = b.column("lang").to_pylist()
+            langs = model_names(b.column("lang").to_pylist(), 1 - halves(b.column("text")))
             text, first, points, h = grams(b.column("text"), langs, order)
             if not len(h):
                 continue
             _, some, n = np.unique(C.mix(h + text.astype(np.uint64)), return_index=True, return_counts=True)
-            yield pa.record_batch([b.column("row").take(pa.array(text[some])), pa.array([langs[i] or _NO_LANG for i in text[some]], pa.string()), pa.array(_decode(points, first[some], order), pa.string()), pa.array(n)], ["row", "lang", "gram", "n"])
+            yield pa.record_batch([b.column("row").take(pa.array(text[some])), pa.array([langs[i] for i in text[some]], pa.string()), pa.array(_decode(points, first[some], order), pa.string()), pa.array(n)], ["row", "lang", "gram", "n"])
 
     docs = docs.withColumn("row", F.xxhash64("doc_id", "lang", "text"))  # equal rows share a key, and their result
     rows = docs.mapInArrow(base, f"row long, doc_id long, lang string, {_BASE}")
@@ -279,26 +321,38 @@ def _joined(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
     return rows.join(total, "row", "left").drop("row")
 
 
+def bands(rows: DataFrame, deviations: float) -> DataFrame:
+    """lang, size, lower and upper, from (lang, size, log_ppl) of the documents that pass the base rules."""
+    both = rows.select("lang", F.sqrt(F.pow(F.lit(2.0), F.col("size"))).alias("root"), F.explode(F.array(F.col("size"), F.lit(-1))).alias("size"), "log_ppl")  # -1: all sizes
+    median = lambda x: F.percentile_approx(x, 0.5, 10_000)
+    middle = C.few(both.groupBy("lang", "size").agg(median("log_ppl").alias("middle"), F.count("*").alias("n")))
+    off = F.abs(F.col("log_ppl") - F.col("middle"))
+    spread = both.join(middle, ["lang", "size"]).groupBy("lang", "size").agg(median(off).alias("mad"), median(off * F.col("root")).alias("by_root"), F.first("middle").alias("middle"), F.first("n").alias("n"))
+    found = C.save(spread, C.scratch(rows.sparkSession, "ngram-bands"))
+    whole = C.few(found.filter("size = -1").select("lang", F.col("middle").alias("all_middle"), F.col("mad").alias("all_mad"), F.col("by_root").alias("all_by_root")))
+    own = F.col("n") >= CLASS_LEAST
+    at = F.when(own, F.col("middle")).otherwise(F.col("all_middle"))
+    mad = F.when(own, F.col("mad")).otherwise(F.greatest("all_mad", F.col("all_by_root") / F.sqrt(F.pow(F.lit(2.0), F.col("size")))))
+    half = F.greatest(1.4826 * deviations * mad, F.lit(LEAST_WIDTH))
+    return found.filter("size >= 0").join(whole, "lang").select("lang", "size", (at - half).alias("lower"), (at + half).alias("upper"))
+
+
 def quality_rules(docs: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS, deviations: float = DEVIATIONS) -> DataFrame:
     """doc_id, the base counts, base_failed, log_ppl and kept of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     model, paths = build(count(docs, order), order)
     if model.count() <= broadcast_rows:
-        shared = spark.sparkContext.broadcast(SortedModel(model.select("lang", "gram", "logp", "back").toArrow(), order))
-        rows = docs.mapInArrow(_scorer(shared, order), f"doc_id long, lang string, {_BASE}, log_ppl double")
+        rows = docs.mapInArrow(_scorer(spark.sparkContext.broadcast(SortedModel.of(model, order)), order), f"doc_id long, lang string, {_BASE}, log_ppl double")
     else:
         rows = _joined(docs, model, order)
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    rows = C.save(rows.withColumn("lang", F.coalesce("lang", F.lit(_NO_LANG))), C.scratch(spark, "ngram-scored"))
+    rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    rows = rows.withColumn("lang", F.coalesce("lang", F.lit(_NO_LANG))).withColumn("size", F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)) + 0.5)).cast("int"))
+    rows = C.save(rows, C.scratch(spark, "ngram-scored"))
     C.drop(spark, *paths)
-    good = rows.filter("not base_failed and log_ppl is not null")
-    middle = good.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("middle"))
-    spread = good.join(middle, "lang").groupBy("lang").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("middle")), 0.5, 10_000).alias("mad"))
-    half = F.greatest(1.4826 * deviations * F.col("mad"), F.lit(LEAST_WIDTH))
-    bands = middle.join(spread, "lang").select("lang", (F.col("middle") - half).alias("lower"), (F.col("middle") + half).alias("upper"))
+    limits = C.few(bands(rows.filter("not base_failed and log_ppl is not null").select("lang", "size", "log_ppl"), deviations))
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return rows.join(bands, "lang", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "lower", "upper")
+    return rows.join(limits, ["lang", "size"], "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "lower", "upper")
 
 
 def op6_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

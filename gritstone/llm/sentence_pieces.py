@@ -1,6 +1,6 @@
 """Operator 7: SentencePiece encoding and decoding by unigram Viterbi over a double-array trie.
 
-Pieces and log scores come from a public model file (never trained here). A text gets a whitespace
+Pieces and log scores come from a public model file (never trained here), whose normalizer fields must ask for what is done here and nothing else. A text gets a whitespace
 mark before it and one for every blank; Viterbi then finds the pieces with the largest sum of scores.
 A character that no piece of its own covers costs the least score less 10 and is written as its UTF-8
 bytes' pieces. Decoding joins the pieces, turns marks into blanks and takes off the first.
@@ -35,6 +35,7 @@ MARK = "▁"
 PENALTY = 10.0
 SEARCH = 2048  # places that the trie's builder looks at together
 LONG = 48  # words of more bytes are solved one by one
+TOGETHER = 1 << 15  # shorter ones that are solved together
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6  # piece types of the format
 
 
@@ -72,6 +73,21 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
                 yield tag >> 3, data[at - 4 : at]
 
 
+def check_normalizer(path: str) -> None:
+    """Refuses model files that ask for text changes other than a mark before the text and one for every blank."""
+    parts = dict(_fields(open(path, "rb").read()))  # noqa: SIM115
+    trainer, normalizer = (dict(_fields(parts.get(n, b""))) for n in (2, 3))
+    asked = {
+        "a table of character replacements": bool(normalizer.get(2)),
+        "no mark before the text": not normalizer.get(3, 1),
+        "taking out blanks": bool(normalizer.get(4, 1)),
+        "blanks as they are": not normalizer.get(5, 1),
+        "marks after words": bool(trainer.get(24, 0)),
+    }
+    if any(asked.values()):
+        raise ValueError(f"{path} asks for " + ", ".join(k for k, v in asked.items() if v))
+
+
 def load_pieces(path: str) -> list[tuple[str, float, int]]:
     """(piece, score, type) by id."""
     out = []
@@ -195,10 +211,10 @@ class Model:
         size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-size, kind="stable")
         n, m = len(words), int(size.max(initial=0))
-        data = np.zeros((m + 1, n), np.int64)
+        data = np.zeros((m + 1, n), np.uint8)
         flat = np.frombuffer(b"".join(words[i] for i in order), np.uint8)
         data[C.ragged(np.zeros(n, np.int64), size[order]), np.repeat(np.arange(n), size[order])] = flat
-        best, back, via = np.full((m + 1, n), -np.inf), np.zeros((m + 1, n), np.int64), np.full((m + 1, n), -1, np.int64)
+        best, back, via = np.full((m + 1, n), -np.inf), np.zeros((m + 1, n), np.int16), np.full((m + 1, n), -1, np.int32)
         best[0] = 0
         lengths = size[order]
         for i in range(m):
@@ -208,7 +224,7 @@ class Model:
             single, start = np.zeros(len(w), bool), np.arange(len(w))
             state, walk, j = np.zeros(len(w), np.int64), w, i
             while len(walk):
-                t = self.base[state] + data[j, walk]
+                t = self.base[state].astype(np.int64) + data[j, walk]
                 go = (self.check[t] == state) & (t > 0)
                 walk, start, state, j = walk[go], start[go], t[go], j + 1
                 v = self.value[state]
@@ -229,13 +245,13 @@ class Model:
         # back along the best paths; the last piece comes first
         at, live, steps = lengths.copy(), np.flatnonzero(lengths > 0), []
         while len(live):
-            p, frm = via[at[live], live], back[at[live], live]
+            p, frm = via[at[live], live].astype(np.int64), back[at[live], live].astype(np.int64)
             known = p >= 0
             steps.append((live[known], at[live[known]], p[known]))
             for x in range(4):  # bytes of a character without a piece
                 y = live[~known]
                 y = y[frm[~known] + x < at[y]]
-                pos = back[at[y], y] + x
+                pos = back[at[y], y].astype(np.int64) + x
                 steps.append((y, pos + 1, self.byte_ids[data[pos, y]]))
             at[live] = frm
             live = live[frm > 0]
@@ -249,7 +265,10 @@ class Model:
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of marked words of any length."""
         short = np.array([len(w) <= LONG for w in words], bool)
-        offsets, ids = self.many([w for w, s in zip(words, short, strict=True) if s])
+        near = [w for w, s in zip(words, short, strict=True) if s]
+        parts = [self.many(near[i : i + TOGETHER]) for i in range(0, max(len(near), 1), TOGETHER)]
+        ends = np.cumsum([0, *(len(x) for _, x in parts)])
+        offsets, ids = np.concatenate([parts[0][0][:1], *(at[1:] + e for (at, _), e in zip(parts, ends, strict=False))]), np.concatenate([x for _, x in parts])
         if short.all():
             return offsets, ids
         rest = [self.one(w) for w, s in zip(words, short, strict=True) if not s]
@@ -300,6 +319,7 @@ def _marked(text: str) -> list[str]:
 
 
 def load_model(path: str) -> Model:
+    check_normalizer(path)
     return Model.from_pieces(load_pieces(path))
 
 

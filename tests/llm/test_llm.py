@@ -51,6 +51,16 @@ def test_token_store(spark, odd, none, tmp_path):
     assert token_store.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_store_digest(spark):
+    tok = token_store.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.op1_token_store(spark, SMALL).collect()}
+    at = 0
+    for r in small():
+        ids = [*tok.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        assert got[r[0]] == (at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+        at += len(ids)
+
+
 def test_pieces_of_texts_encode_alike():
     tok, rng = token_store.tokenizer(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
     texts = ["".join(rng.choice(["a", "B", " ", " ", "\n", "é", " ", "'s", "1", "<|endoftext|>", "　", "\x1c"]) for _ in range(rng.randrange(25))) for _ in range(500)]
@@ -122,9 +132,112 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dup.near_duplicates(none, 3, 85).count() == 0
 
 
+def test_near_duplicates_at_low_similarity(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(w if rng.random() > 0.12 else f"x{rng.randrange(999)}" for w in base)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, 3, 40).collect()}
+    assert got == components(rows, 3, 40) and len({c for _, c in got.values()}) < 30
+    with pytest.raises(ValueError):
+        near_dup.side_for(2)
+
+
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    a, b = "one two three four five six seven eight nine ten", "quite another text of ten words that stands here alone"
+    docs = spark.createDataFrame([(1, a, 7), (5, a, 7), (5, b, 7), (5, b + " too", 7), (None, a, 7), (9, None, 7)], "doc_id long, text string, __gone_id int")
+    rows = near_dup.near_duplicates(docs, 3, 80).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (9, 9, True)]
+    assert sum(r.stays for r in rows) == 4
+    left = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    texts = [(r.doc_id, r.text) for r in left.collect()]
+    assert left.columns == docs.columns and len(texts) == 4 and (1, a) in texts and (None, a) in texts and sum(i == 5 for i, _ in texts) == 1
+
+
 # ---- 4 and 5 ----
 
 
+def plain_rows(text):
+    """Words by plain loops, and the table row of each."""
+    kind = lambda b: 0 if b in b" \t\v\f\r" else 3 if b == 10 else 1 if b > 127 or chr(b).isalpha() else 2 if chr(b).isdigit() else 4
+    words, data = [], text.encode()
+    for i, b in enumerate(data):
+        k = kind(b)
+        if i and k == kind(data[i - 1]) and k != 3 and (k != 4 or b == data[i - 1]):
+            words[-1][1].append(b)
+        else:
+            words.append((k, [b]))
+    out, m = [], 0x9E3779B97F4A7C15
+    for k, w in words:
+        if k:
+            h = sum((b + 1) * pow(m, min(j, 4095) + 1, 1 << 64) for j, b in enumerate(w[:1] if k == 4 else w)) % (1 << 64)
+            h = int(C.mix(np.array([h], np.uint64))[0])
+            out.append((k, 1 + (h >> 40) % (quality_model.ROWS - 1)))
+    rows = [r for _, r in out]
+    return [quality_model.AGAIN if k == 1 and any(j >= 0 and rows[j] == r for j in range(i - quality_model.RECENT, i)) else r for i, (k, r) in enumerate(out)]
+
+
+def test_quality_equals_plain_loops(spark):
+    texts = [r[1][:1500] for r in small()[:30]] + ["", "aa aa!! 12,,\n\n bé bé", "x" * 5000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    place, sign = quality_model.index_vectors()
+    sums = np.zeros((quality_model.ROWS, quality_model.DIMS))
+    for t in texts:
+        rows = plain_rows(t)
+        for i, r in enumerate(rows):
+            for j in range(max(i - quality_model.REACH, 0), min(i + quality_model.REACH + 1, len(rows))):
+                if j != i:
+                    for k in range(quality_model.NONZERO):
+                        sums[r, place[rows[j], k]] += sign[rows[j], k]
+    vectors = quality_model.context_vectors(docs)
+    assert np.allclose(vectors, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9), atol=1e-6)
+    rng = np.random.default_rng(3)
+    net = quality_model.Net(rng.normal(size=64), rng.uniform(1, 2, 64), rng.normal(size=(64, 3)), rng.normal(size=3), rng.normal(size=3), 0.25, 1.7)
+    for r in quality_model.score(docs, (vectors, net)).collect():
+        rows = plain_rows(texts[r.doc_id])
+        x = [float(np.mean([vectors[w][d] for w in rows])) if rows else 0.0 for d in range(64)]
+        hidden = [np.tanh(sum((x[d] - net.mean[d]) / net.scale[d] * net.w1[d, h] for d in range(64)) + net.b1[h]) for h in range(3)]
+        want = 1 / (1 + np.exp(-(sum(v * w for v, w in zip(hidden, net.w2, strict=True)) + 0.25) / 1.7))
+        assert abs(r.score - want) < 1e-5 and r.predicted == int(r.score >= 0.5)
+
+
+def test_quality_sample_is_one_text_a_label(spark):
+    docs = spark.createDataFrame([(4, f"text number {i}") for i in range(500)] + [(9, "other"), (0, "both labels")], "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 1), (4, 1), (9, 0), (0, 0), (0, 1)], "doc_id long, quality int")
+    vectors, net = quality_model.fit(docs, labels)
+    assert vectors.shape == (quality_model.ROWS, quality_model.DIMS) and np.isfinite(net.score(np.zeros((1, 64)))).all()
+
+
+def test_language_equals_plain_loops(spark):
+    langs, rng = ["a", "b", "c"], np.random.default_rng(4)
+    net = language_cnn.Net(langs, rng)
+    for b in net.bias:
+        b += rng.normal(0, 0.1, b.shape).astype(np.float32)
+    texts = ["kurz und gut", "", "123 456", "é" * 200, "word " * 120]
+
+    def plain(t):
+        data, total, weight = t.encode(), np.zeros(3), 0
+        for s in range(0, len(data), language_cnn.WINDOW):
+            window = data[s : s + language_cnn.WINDOW].ljust(language_cnn.WINDOW, b"\0")
+            padded = window + b"\0" * (max(language_cnn.WIDTHS) - 1)
+            hidden = []
+            for w, f, bias in zip(language_cnn.WIDTHS, net.filters, net.bias, strict=True):
+                best = np.max([np.concatenate([net.embed[b] for b in padded[i : i + w]]) @ f for i in range(language_cnn.WINDOW)], axis=0)
+                hidden.extend(np.maximum(best + bias, 0))
+            z = np.array(hidden) @ net.out + net.out_bias
+            letters = sum(b > 127 or chr(b).isalpha() for b in window)
+            total, weight = total + letters * (z - z.max() - np.log(np.exp(z - z.max()).sum())), weight + letters
+        p = np.exp(total / max(weight, 1))
+        return p / p.sum()
+
+    got, score = language_cnn.predict_batch(pa.array(texts), net)
+    for t, g, x in zip(texts, got, score, strict=True):
+        if not any(c.isalpha() for c in t):
+            assert (g, x) == ("und", 0)
+        else:
+            assert g == langs[plain(t).argmax()] and abs(x - plain(t).max()) < 1e-4
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in quality_model.op4_quality(spark, d).collect()}
@@ -184,11 +297,11 @@ def test_base_counts():
     assert got["n_dup_lines"].tolist() == [0, 0, 0, 2, 0, 0] and got["word_chars"].tolist() == [7, 0, 0, 6, 5, 4] and got["n_symbols"].tolist() == [0, 0, 0, 0, 3, 0]
 
 
-def kneser_ney(texts, order):
-    """Plain dictionaries; log-probability of each text's characters."""
+def kneser_ney(train, texts, order):
+    """Plain dictionaries; log-perplexity of each text's characters under a model of train."""
     counts = {order: collections.Counter()}
-    padded = [chr(ngram_rules.BOS) * (order - 1) + re.sub(r"[\t-\r]", " ", re.sub(r"[0-9]", "0", t)) for t in texts]
-    for t in padded:
+    pad = lambda t: chr(ngram_rules.BOS) * (order - 1) + re.sub(r"[\t-\r]", " ", re.sub(r"[0-9]", "0", t))
+    for t in map(pad, train):
         counts[order].update(t[i : i + order] for i in range(len(t) - order + 1))
     for k in range(order - 1, 0, -1):
         counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
@@ -213,16 +326,61 @@ def kneser_ney(texts, order):
         c = counts[len(g)][g]
         return ((c - d[min(c, 3) - 1]) if c else 0) / total[g[:-1]] + taken[g[:-1]] / total[g[:-1]] * p(g[1:])
 
-    return [-np.mean([np.log(p(t[i : i + order])) for i in range(len(t) - order + 1)]) if len(t) >= order else None for t in padded]
+    return [-np.mean([np.log(p(t[i : i + order])) for i in range(len(t) - order + 1)]) if len(t) >= order else None for t in map(pad, texts)]
+
+
+def base_passes(text):
+    words = WORD.findall(text)
+    seen = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    again = {i + k for i in range(len(words) - 2) if seen[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    return len(words) >= 50 and 100 * len(again) <= 50 * len(words)
 
 
 def test_perplexity_equals_plain_model(spark):
     rows = [(r[0], r[1]) for r in small() if r[2] == "fr"]
     docs = spark.createDataFrame([(i, t, "fr") for i, t in rows], "doc_id long, text string, lang string")
-    want = dict(zip([i for i, _ in rows], kneser_ney([t for _, t in rows], 4), strict=True))
+    half, want = dict(zip([i for i, _ in rows], ngram_rules.halves(pa.array([t for _, t in rows])).tolist(), strict=True)), {}
+    for h in (0, 1):
+        mine = [(i, t) for i, t in rows if half[i] == h]
+        want |= dict(zip([i for i, _ in mine], kneser_ney([t for i, t in rows if half[i] != h and base_passes(t)], [t for _, t in mine], 4), strict=True))
+    texts = dict(rows)
     for limit in (10**9, 0):
-        for r in ngram_rules.quality_rules(docs, broadcast_rows=limit).collect():
-            assert abs(r.log_ppl - want[r.doc_id]) < 1e-5
+        got = ngram_rules.quality_rules(docs, broadcast_rows=limit).collect()
+        for r in got:
+            assert abs(r.log_ppl - want[r.doc_id]) < 1e-5 and r.base_failed != base_passes(texts[r.doc_id])
+        assert {r.doc_id: r.kept for r in got} == inside_bands([(r.doc_id, "fr", r.n_words, r.log_ppl, r.base_failed) for r in got])
+
+
+def inside_bands(rows):
+    """kept by plain sorting."""
+    middle = lambda v: sorted(v)[-(-len(v) // 2) - 1]
+
+    groups = collections.defaultdict(list)
+    for _, lang, n, x, failed in rows:
+        if not failed:
+            groups[lang, n.bit_length()].append((x, n))
+            groups[lang].append((x, n))
+    out = {}
+    for i, lang, n, x, failed in rows:
+        out[i] = False
+        if not failed:
+            own = groups[lang, n.bit_length()]
+            own = own if (enough := len(own) >= ngram_rules.CLASS_LEAST) else groups[lang]
+            m = middle([v for v, _ in own])
+            mad = middle([abs(v - m) for v, _ in own])
+            if not enough:
+                mad = max(mad, middle([abs(v - m) * 2 ** ((k.bit_length() - 1) / 2) for v, k in own]) / 2 ** ((n.bit_length() - 1) / 2))
+            out[i] = abs(x - m) <= max(1.4826 * ngram_rules.DEVIATIONS * mad, ngram_rules.LEAST_WIDTH)
+    return out
+
+
+def test_bands_reject_junk_and_keep_the_rest(spark):
+    d = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in ngram_rules.op6_ngram_rules(spark, d).collect()}
+    lang = dict(duckdb.sql(f"select doc_id, lang from '{d}/documents.parquet'").fetchall())
+    assert {i: r.kept for i, r in rows.items()} == inside_bands([(i, lang[i], r.n_words, r.log_ppl, r.base_failed) for i, r in rows.items()])
+    gone = {q: [not rows[i].kept for i, x in duckdb.sql(f"select doc_id, quality from '{d}/labels.parquet'").fetchall() if x == q and not rows[i].base_failed] for q in (0, 1)}
+    assert np.mean(gone[0]) > 0.3 and np.mean(gone[1]) < 0.03
 
 
 def test_rules_of_odd_rows(odd, none):
@@ -263,10 +421,23 @@ def test_sentence_pieces(odd, none):
     assert [ids[s:e].tolist() for s, e in itertools.pairwise(offsets)] == [viterbi(model, vocabulary, t) for t in texts]
     tokens = sentence_pieces.encode(odd, model)
     assert all(r.round_trip for r in tokens.collect()) and sentence_pieces.encode(none, model).count() == 0
+    for r in tokens.filter("doc_id in (2, 8, 11)").collect():
+        text = next(x.text for x in odd.collect() if x.doc_id == r.doc_id)
+        ids = viterbi(model, vocabulary, text)
+        assert (r.n_tokens, r.ids) == (len(ids), ids) and r.n_byte_tokens == sum(loaded[i][2] == sentence_pieces.BYTE for i in ids)
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)) and r.decoded_crc32 == zlib.crc32(text.replace("▁", " ").encode())
     back = {r.doc_id: r.text for r in sentence_pieces.decode(tokens, model).collect()}
     assert back[1] == "" and back[8] == "日本語 テキスト   x  y"
 
 
+def test_model_files_that_ask_for_more_are_refused(tmp_path):
+    for n, fields in enumerate((b"\x1a\x02\x20\x01", b"\x1a\x04\x18\x00\x20\x00", b"\x1a\x05\x12\x01x\x20\x00", b"\x12\x03\xc0\x01\x01\x1a\x02\x20\x00", b"")):
+        (tmp_path / str(n)).write_bytes(fields)
+        with pytest.raises(ValueError):
+            sentence_pieces.check_normalizer(str(tmp_path / str(n)))
+    sentence_pieces.check_normalizer(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 # ---- 8 ----
 
 
@@ -283,9 +454,113 @@ def test_rotation(spark):
     assert chat_rotation.rotate(conv.limit(0)).count() == 0
 
 
+def test_rotation_of_odd_conversations(spark):
+    long = "tok " * 40_000
+    rows = [(1, 300 * i, "A|b" if i % 2 else "A b", f"t{i}", "s", 0) for i in range(700)] + [(2, 5, "x", long, "s", 0), (2, 9, "%", None, "s", 0), (3, 1, None, "only", "s", 0)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, speaker string, piece int")
+    got = {(r.conv_id, r.speaker, r.piece): r for r in chat_rotation.rotate(conv.repartition(7)).collect()}
+    assert sorted(got) == sorted([(1, s, p) for s in ("A b", "A|b") for p in range(3)] + [(2, "%", 0), (2, "x", 0)])
+    r = got[1, "A b", 1]
+    assert (r.n_turns, r.n_own_turns) == (256, 128) and r.text.startswith("<|assistant|>\nt256<|end|>\n<|user name=A%7Cb|>\nt257<|end|>\n")
+    assert [r.text[m.start : m.end] for m in r.mask] == [f"t{i}<|end|>\n" for i in range(256, 512, 2)]
+    assert "<|user name=A%20b|>" in got[1, "A|b", 2].text and got[1, "A|b", 2].n_turns == 188
+    assert got[2, "x", 0].text == f"<|assistant|>\n{long}<|end|>\n<|user name=%25|>\n<|end|>\n" and got[2, "%", 0].mask[0].start == len("<|user name=x|>\n") + len(long) + len("<|end|>\n<|assistant|>\n")
+
+
 # ---- 9 ----
 
 
+PUNCT = ".,;:!?\"'()[]{}<>|*#&~`_=“”‘’«»…-–—"
+
+
+def plain_kinds(text):
+    """(kind, word without case) of each word: N number, Q quantity, U unit after a number, C capitalised, - other."""
+    out = []
+    for w in WORD.findall(text):
+        core = w.strip(PUNCT) or w
+        low = core.lower()
+        if re.fullmatch(r"[+-]?[$€£]?[0-9][0-9.,:/]*(%|st|nd|rd|th)?", low):
+            kind = "N"
+        elif (m := re.fullmatch(r"[0-9][0-9.,]*([a-z]+)", low)) and m[1] in decontaminate.UNITS:
+            kind = "Q"
+        elif low in decontaminate.UNITS:
+            kind = "U" if out and out[-1][0] == "N" else "-"
+        else:
+            kind = "C" if core[:1].isupper() else "-"
+        out.append((kind, low))
+    return out
+
+
+def held_items(docs, items, width=8):
+    """(doc, item): n_hits, by comparing every window with every window."""
+    out = {}
+    for (i, t), (j, b) in itertools.product(docs, items):
+        a, b = plain_kinds(t), plain_kinds(b)
+        n = min(width, len(b))
+        if len(b) < 2 or len(a) < n:
+            continue
+        by_shift = collections.defaultdict(lambda: ([], [], set()))
+        template = lambda w, slots: tuple(k if k in slots else v for k, v in w)
+        for p, q in itertools.product(range(len(b) - n + 1), range(len(a) - n + 1)):
+            x, y = b[p : p + n], a[q : q + n]
+            changed, same, pairs = by_shift[q - p]
+            if [v for _, v in x] == [v for _, v in y]:
+                same.append(p)
+            for slots in ("NQUC", "NQU"):
+                plain = lambda w: sum(k not in slots for k, _ in w)  # noqa: E731, B023
+                if template(x, slots) == template(y, slots) and plain(x) >= min(4, n) and plain(y) >= min(4, n) and (slots == "NQUC" or any(k in slots for k, _ in x)):
+                    changed.append(p)
+                    pairs |= {(v, u) for (k, v), (_, u) in zip(x, y, strict=True) if k in slots}
+                    if all(v == u for (k, v), (_, u) in zip(x, y, strict=True) if k in slots):
+                        same.append(p)
+        hit = set()
+        for changed, same, pairs in by_shift.values():
+            one = len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs})
+            hit |= set(changed) | set(same) if one else set(same)
+        windows = len(b) - n + 1
+        if len(hit) >= min(-(-windows // 2), 6):
+            out[i, j] = len(hit)
+    return out
+
+
+def test_decontamination_equals_plain_comparison(spark):
+    rng, words = random.Random(4), ["Anna", "ran", "to", "the", "mill", "with", "12", "3.5", "kg", "of", "Flour", "and", "5kg", "seven", "in", "a", "second", "Haus", "geht", "am", "Montag", "7", "mm"]
+    items = [(j, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 7, 8, 9, 14, 25])))) for j in range(24)]
+    docs = []
+    for i in range(60):
+        _, item = rng.choice(items)
+        changed = [{"Anna": "Olga", "12": "19", "3.5": "8"}.get(w, w) if i % 3 else w for w in item.split()]
+        if i % 5 == 0 and changed:
+            changed[rng.randrange(len(changed))] = rng.choice(words)
+        docs.append((i, " ".join([*(rng.choice(words) for _ in range(rng.randrange(6))), *changed, *(rng.choice(words) for _ in range(rng.randrange(6)))])))
+    docs += [(100 + r[0], r[1][:3000]) for r in small()[:25]]
+    items += [(100 + r[0], r[1]) for r in small("benchmark")[:6]]
+    first = {}  # items of the same words are one
+    for j, b in items:
+        first.setdefault(b, j)
+    want = held_items(docs, [(j, b) for b, j in first.items()])
+    for limit in (10**6, 0):
+        rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_hashes=limit).collect()
+        assert {(r.doc_id, r.item_id): r.n_hits for r in rows} == want and len(want) >= 40
+
+
+def test_decontamination_of_short_items_units_and_nouns(spark):
+    german = "Die Bäckerin verkauft am Morgen {n} Brote und am Abend {k} Brötchen an die Kinder aus der Stadt"
+    bench = spark.createDataFrame([(1, "who wrote hamlet"), (2, "paid in a second one by one"), (3, german.format(n=12, k=30))], "item_id long, text string")
+    rows = [(1, "Well, who wrote Hamlet? Nobody knows"), (1, "a clean text"), (2, "who wrote it"), (3, "paid c m second one by one"), (4, german.format(n=7, k=55)), (None, "so who wrote hamlet"), (5, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, __gone_row int")
+    assert sorted((r.doc_id, r.item_id, r.reparameterised) for r in decontaminate.contaminated(docs, bench).collect()) == [(1, 1, False), (4, 3, True)]
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns and sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, "a clean text"), (2, "who wrote it"), (3, rows[3][1]), (5, None)], key=lambda x: x[0])
+
+
+def test_decontamination_counts_equal_windows_beside_changed_ones(spark):
+    item = "Tom met Mary near the old mill and Tom gave Mary the key of the house by the river which was closed since the flood of last year had come up to its door"
+    text = item.replace("and Tom", "and Bob")  # one of two occurrences is edited
+    docs, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [r.item_id for r in decontaminate.contaminated(docs, bench).collect()] == [7]
+
+
 def test_decontamination(spark, odd, none):
     story = "{a} had {n} apples and gave {k} kg of them to {b} before the sun went down on the farm near the hills"
     bench = spark.createDataFrame([(7, story.format(a="Tom", b="Mary", n=12, k=5)), (8, None), (None, "x y z v w"), (9, "Tom")], "item_id long, text string")
@@ -376,6 +651,27 @@ def test_line_dedup_recall(spark):
 # ---- pipeline ----
 
 
+def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
+    docs = odd.select("doc_id", "text", "lang", "source", "kept", "n_tokens", F.lit("x").alias("row"), F.lit(0).alias("__gone_id")).union(spark.createDataFrame([(5, "another text of this id\nwith two lines", "en", "s", "k", 0, "x", 0)], "doc_id long, text string, lang string, source string, kept string, n_tokens int, row string, __gone_id int"))
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, docs, SMALL)
+        if name == "pieces":
+            assert all(r.round_trip for r in left.collect())
+            continue
+        assert left.columns == docs.columns
+        if name != "quality":  # what the classifier keeps is up to its labels
+            got = [(r.doc_id, r.text) for r in left.collect()]
+            want = [(r.doc_id, r.text) for r in docs.collect()]
+            repeated = {"lines": {10}, "near_duplicates": {5}, "decontaminate": set()}[name]
+            for i, t in want:
+                if i not in repeated:
+                    assert got.count((i, t)) == want.count((i, t))
+            assert name != "near_duplicates" or [t for i, t in got if i == 5] == ["another text of this id\nwith two lines"]
+            assert name != "lines" or [t for i, t in got if i == 10] == ["line one here\nline two here"]
+        assert stage(spark, none, SMALL).count() == 0
+    assert corpus_pipeline.pieces(spark, none, SMALL).count() == 0
+
+
 def test_pipeline(spark):
     docs, kept = C.table(spark, SMALL, "documents"), {}
     for name, stage in corpus_pipeline.STAGES:

@@ -667,7 +667,7 @@ def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
                 if i not in repeated:
                     assert got.count((i, t)) == want.count((i, t))
             assert name != "near_duplicates" or [t for i, t in got if i == 5] == ["another text of this id\nwith two lines"]
-            assert name != "lines" or [t for i, t in got if i == 10] == ["line one here\nline two here"]
+            assert name != "lines" or [t for i, t in got if i == 10] == ["line one here\nline two here\n"]
         assert stage(spark, none, SMALL).count() == 0
     assert corpus_pipeline.pieces(spark, none, SMALL).count() == 0
 

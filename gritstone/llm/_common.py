@@ -79,10 +79,11 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 HOT, HOT_LEAST = 4096, 128
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
     """left.join(right, on, how), inner or left, where right has one row a key. A hot key's row is broadcast, so its rows of
-    left stay where they are; the rest is shuffled. left is read three times: give it written."""
-    counts = left.groupBy(*on).agg(F.count("*").alias("__n"))
+    left stay where they are; the rest is shuffled. ``size`` is a column of right with the number of left's rows of the key; without it they
+    are counted. Both sides are read several times: give them written."""
+    counts = right.select(*on, F.col(size).alias("__n")) if size else left.groupBy(*on).agg(F.count("*").alias("__n"))
     rows, most = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
     least = max(rows // HOT, HOT_LEAST)
     if most <= least:
@@ -137,6 +138,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

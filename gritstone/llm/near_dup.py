@@ -8,9 +8,9 @@ group of the first and a group of the second, so side*side tables of 2*rows mini
 1. Sketch: one row per document with the set's size and hash and the two collections.
 2. Classes: documents with equal sets become one class before any key is made.
 3. Buckets: classes that share a key; of buckets with the same members (their number and 128 bits of hashes) the first table's stays.
-4. Star rounds: in each bucket that holds more than one component, every class is compared with one pivot on
-   full sets, first with any and then with the one that holds the fewest rare shingles. Links are closed to components.
-   A pivot's pairs are cut into parts of at most PART pairs, each with the pivot's text once.
+4. Star: in each bucket every class is compared on full sets with one pivot, the one that holds the fewest rare shingles (those of
+   fewer than RARE classes), which a group of edited copies has at its middle. Links are closed to components.
+   A pivot's pairs are cut into parts of some PART pairs, each with the pivot's text once.
 5. Rest: pairs of a bucket that are still in different components. With Q any set of shingles, two sets
    share at most min(|u & Q|, |v & Q|) shingles inside Q, so a pair can only be linked if that, with the shingles
    that it shares outside Q, is enough. Q holds the shingles that RARE or more classes have; the others
@@ -176,10 +176,8 @@ def _comparer(width: int):
 
 
 def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """inter and total (intersection and union) of the full sets of distinct pairs (p, m) of classes; texts: (set_id, text), one row
-    a class. pairs is read several times: give it written."""
-    parts = pairs.groupBy("p").agg(F.ceil(F.count("*") / PART).alias("parts")).filter("parts > 1")
-    pairs = pairs.withColumn("part", F.lit(0).cast("long")) if parts.isEmpty() else C.spread_join(pairs, parts, ["p"], "left").select("p", "m", F.expr("coalesce(pmod(xxhash64(m), parts), 0)").alias("part"))
+    """inter and total (intersection and union) of the full sets of distinct pairs (p, m, part) of classes; texts: (set_id, text), one row
+    a class. Pairs of one part of a pivot are compared together."""
     members = pairs.join(texts.withColumnRenamed("set_id", "m"), "m").select("p", "part", "m", "text")
     pivots = pairs.select("p", "part").distinct().join(texts.withColumnRenamed("set_id", "p"), "p").select("p", "part", F.lit(None).cast("binary").alias("m"), "text")
     rows = members.union(pivots).repartition("p", "part").sortWithinPartitions("p", "part", F.asc_nulls_first("m"))
@@ -198,23 +196,33 @@ def _slots(width: int):
     return run
 
 
-def _rare(width: int, common):
-    """How many of a class's shingles are common, and the others."""
+def _inside(width: int, common):
+    """How many of a class's shingles are common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             offsets, shingles = shingle_sets(batch.column("text"), width)
-            often = C.in_bitmap(common.value, shingles)
-            inside = C.segment_sums(often, offsets)
-            at = np.concatenate([[0], np.cumsum(np.diff(offsets) - inside)])
-            yield pa.record_batch([batch.column("set_id"), pa.array(inside), C.list_array(at, shingles[~often].view(np.int64), pa.int64())], ["set_id", "inside", "outside"])
+            yield pa.record_batch([batch.column("set_id"), pa.array(C.segment_sums(C.in_bitmap(common.value, shingles), offsets))], ["set_id", "inside"])
 
     return run
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def _outside(width: int, common):
+    """(set_id, shingle): the rare ones of a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            offsets, shingles = shingle_sets(batch.column("text"), width)
+            rare = ~C.in_bitmap(common.value, shingles)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[rare]
+            yield pa.record_batch([batch.column("set_id").take(pa.array(of)), pa.array(shingles[rare].view(np.int64))], ["set_id", "shingle"])
+
+    return run
+
+
+def components(edges: DataFrame, name: str, spent: list[str]) -> DataFrame:
     """(node, comp) of the nodes of edges (u, v); comp is the least node reachable. Every node takes its
-    least neighbour's label, then labels are followed one step on, until nothing changes."""
+    least neighbour's label, then labels are followed one step on, until nothing changes. The result's path joins ``spent``."""
     spark = edges.sparkSession
     both = C.save(edges.select("u", "v").union(edges.select("v", "u")).distinct(), edges_at := C.scratch(spark, f"{name}-edges"))
     labels = C.save(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("comp")), old := C.scratch(spark, f"{name}-labels"))
@@ -228,6 +236,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         labels, old = step.select("node", "comp"), new
         if done:
             C.drop(spark, edges_at)
+            spent.append(new)
             return labels
 
 
@@ -236,116 +245,95 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     spark = docs.sparkSession
     side = side or side_for(percent, rows)
     spent: list[str] = []
-    round_spent: list[str] = []
 
-    def keep(df: DataFrame, name: str, all_along: bool = False) -> DataFrame:
-        """Saved until the round, or the whole operator, ends."""
-        paths = spent if all_along else round_spent
-        paths.append(C.scratch(spark, f"near-{name}"))
-        return C.save(df, paths[-1])
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """Saved until the operator ends, or until drop."""
+        spent.append(C.scratch(spark, f"near-{name}"))
+        return C.save(df, spent[-1])
 
-    def clear() -> None:
-        C.drop(spark, *round_spent)
-        round_spent.clear()
+    def drop(name: str) -> None:
+        gone = [p for p in spent if f"/near-{name}-" in p]
+        C.drop(spark, *gone)
+        spent[:] = [p for p in spent if p not in gone]
 
-    sketches = keep(sketch(docs, width, side, rows), "sketch", True)
+    sketches = keep(sketch(docs, width, side, rows), "sketch")
     # one class per distinct set; copies are combined before the shuffle
     full = sketches.filter("n_shingles > 0 and doc_id is not null")
-    classes = keep(full.groupBy("set_id").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "classes", True)
-    sketches = keep(sketches.select("doc_id", "row", "n_shingles", "set_id"), "sets", True)
-    C.drop(spark, spent.pop(0))
+    classes = keep(full.groupBy("set_id").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("docs"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    sketches = keep(sketches.select("doc_id", "row", "n_shingles", "set_id"), "sets")
+    drop("sketch")
     tables = classes.select("set_id", "n", "a", "b")
     keys = tables.mapInArrow(_keys(side, None), _KEYS)
     who = [F.bit_xor(F.xxhash64("set_id")).alias("who"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("also")]
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), *who).filter("members > 1")
     shared = keep(shared.groupBy("members", "who", "also").agg(F.min(F.struct(F.expr("key & 65535").alias("t"), "key")).alias("first")).select("first.key"), "keys")
     wanted = spark.sparkContext.broadcast(C.bitmap(shared.select(F.shiftright("key", 16).alias("h")), "h"))  # most keys are one class's and go nowhere
-    members = keep(tables.mapInArrow(_keys(side, wanted), _KEYS).join(shared, "key"), "members", True)
-    clear()
+    found = keep(tables.mapInArrow(_keys(side, wanted), _KEYS).join(shared, "key"), "found")
+    drop("keys")
     # a text for each class of a bucket
-    where = members.select("set_id").distinct().join(classes.select("set_id", "first.doc_id", "first.row"), "set_id")
+    where = found.select("set_id").distinct().join(classes.select("set_id", "first.doc_id", "first.row"), "set_id")
     named = F.xxhash64("doc_id", "row").alias("h")
     wanted = spark.sparkContext.broadcast(C.bitmap(where.select(named), "h"))  # most other texts stay where they are
-    found = _rows(docs).select("doc_id", "row", "text", named).mapInArrow(_among(wanted), "doc_id long, row long, text string")
-    found = found.groupBy("doc_id", "row").agg(F.first("text").alias("text"))  # repeated rows
-    texts = keep(where.join(found, ["doc_id", "row"]).select("set_id", "text"), "texts", True)
+    rows_of = _rows(docs).select("doc_id", "row", "text", named).mapInArrow(_among(wanted), "doc_id long, row long, text string")
+    rows_of = rows_of.groupBy("doc_id", "row").agg(F.first("text").alias("text"))  # repeated rows
+    texts = keep(where.join(rows_of, ["doc_id", "row"]).select("set_id", "text"), "texts")
+    often = texts.select("text").mapInArrow(_slots(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= RARE)
+    common = spark.sparkContext.broadcast(C.bitmap(often, "slot"))
+    members = keep(found.join(texts.mapInArrow(_inside(width, common), "set_id binary, inside long"), "set_id"), "members")
+    drop("found")
     fits = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
     link = f"100 * inter >= {percent} * total"
-    labels = keep(members.select(F.col("set_id").alias("node"), F.col("set_id").alias("comp")).distinct(), "labels", True)
-
-    def state(name: str) -> DataFrame:
-        """Members of buckets, with their components."""
-        return keep(members.join(labels.withColumnRenamed("node", "set_id"), "set_id"), name)
-
-    def several(rows: DataFrame, *more: Column) -> DataFrame:
-        """The buckets of rows that hold more than one component."""
-        return rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *more).filter("c0 <> c1").drop("c0", "c1")
-
-    def joined(links: DataFrame, name: str) -> DataFrame:
-        """Labels after links (p, m) of classes. links: written."""
-        if links.isEmpty():
-            return labels
-        ends = labels.withColumnRenamed("comp", "u")
-        edges = links.join(ends.withColumnRenamed("node", "p"), "p").join(ends.select(F.col("node").alias("m"), F.col("u").alias("v")), "m").filter("u <> v")
-        tops = components(edges, name).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        return keep(C.spread_join(labels, tops, ["comp"], "left").select("node", F.coalesce("top", "comp").alias("comp")), f"{name}-labels", True)
-
-    def star(rows: DataFrame, order: Column, name: str) -> DataFrame:
-        """Labels after every class of a bucket is compared with the bucket's pivot, the last in order. rows: written."""
-        pivots = several(rows, F.max_by(F.struct("set_id", "n", "comp"), F.struct(order, F.xxhash64("set_id"))).alias("pivot"))
-        pairs = C.spread_join(rows, pivots, ["key"]).filter("comp <> pivot.comp").filter(fits.format("n", "pivot.n")).select(F.col("pivot.set_id").alias("p"), F.col("set_id").alias("m")).distinct()
-        return linked(keep(pairs, f"{name}-pairs"), name)
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Labels after the pairs (p, m) are compared. pairs: written."""
-        return labels if pairs.isEmpty() else joined(keep(compare(pairs, texts, width).filter(link), f"{name}-links"), name)
-
-    labels = star(state("state"), F.lit(0), "near-star")
-    clear()
-    rows = state("open")
-    left = keep(C.spread_join(rows, several(rows), ["key"]), "left")
+        """Pairs (p, m) of (p, m, part) that are links."""
+        pairs = keep(pairs.groupBy("p", "m").agg(F.min("part").alias("part")), f"{name}-pairs")
+        return keep(compare(pairs, texts, width).filter(link).select("p", "m"), f"{name}-links")
+
+    pivots = keep(members.groupBy("key").agg(F.max_by(F.struct("set_id", "n"), F.struct(F.col("inside") / F.col("n"), F.xxhash64("set_id"))).alias("pivot"), F.count("*").alias("size")), "pivots")
+    pairs = C.spread_join(members, pivots, ["key"], size="size").filter("set_id <> pivot.set_id").filter(fits.format("n", "pivot.n"))
+    links = linked(pairs.select(F.col("pivot.set_id").alias("p"), F.col("set_id").alias("m"), F.expr(f"pmod(xxhash64(set_id), ceil(size / {PART}))").alias("part")), "star")
+    tops = components(links.withColumnsRenamed({"p": "u", "m": "v"}), "near-star", spent)
+    state = keep(members.join(tops.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")), "state")
+    drop("members")
+    several = state.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 <> c1").select("key", "size")
+    left = keep(C.spread_join(state, keep(several, "several"), ["key"], size="size").drop("size"), "left")
+    more = None
     if not left.isEmpty():
-        mine = texts.join(left.select("set_id").distinct(), "set_id", "left_semi")
-        often = mine.select("text").mapInArrow(_slots(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= RARE)
-        common = spark.sparkContext.broadcast(C.bitmap(often, "slot"))
-        parts = keep(mine.mapInArrow(_rare(width, common), "set_id binary, inside long, outside array<long>"), "parts", True)
-
-        def core(rows: DataFrame, name: str) -> DataFrame:
-            """Members that common shingles alone may link, of buckets where such are in different components."""
-            rows = keep(rows.select("key", "set_id", "n", "comp").join(parts.select("set_id", "inside"), "set_id").filter(f"100 * inside >= {percent} * n"), f"{name}-all")
-            return keep(C.spread_join(rows, several(rows), ["key"]), name)
-
-        most = core(left, "core")
-        if not most.isEmpty():
-            labels = star(most, F.col("inside") / F.col("n"), "near-core")
-            rows = state("rest")
-            left = keep(C.spread_join(rows, several(rows), ["key"]), "rest-left")
-            most = core(left, "rest-core")
         enough = f"100 * {{0}} >= {percent} * (un + vn - {{0}})"
         end = lambda x: [F.col(c).alias(f"{x}{c[0]}") for c in ("set_id", "n", "comp", "inside")]
         apart = F.expr("uc <> vc") & F.expr(fits.format("un", "vn"))
         # pairs that common shingles alone may link, each in the first of the tables that hold both: who is not of a bucket's
         # largest component meets the bucket's members
-        rows = most
-        largest = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.ceil(F.sum("n") / PART).alias("parts"))
-        rows = C.spread_join(rows, largest, ["key"]).join(classes.select("set_id", "a", "b"), "set_id")
+        core = keep(left.filter(f"100 * inside >= {percent} * n"), "core")
+        by_comp = core.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key")
+        largest = by_comp.agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
+        largest = keep(largest.select("key", "top", "size", F.ceil(F.col("size") / PART).alias("parts")), "largest")
+        rows = C.spread_join(core, largest, ["key"], size="size").join(classes.select("set_id", "a", "b"), "set_id")
         side_of = lambda rows, x, *more: rows.select("key", *end(x), F.col("a").alias(f"{x}_a"), F.col("b").alias(f"{x}_b"), *more)
         outside = side_of(rows.filter("comp <> top"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         inside = side_of(rows, "v", F.expr("pmod(xxhash64(set_id), parts)").alias("part"), "top")
         first = " and ".join(f"({t} <= {k} or u_{c}[{k}] <> v_{c}[{k}])" for t, c in ((f"(key & 65535) div {side}", "a"), (f"(key & 65535) % {side}", "b")) for k in range(side))
         alike = outside.join(inside, ["key", "part"]).filter(apart & F.expr("vc = top or us < vs") & F.expr(enough.format("least(ui, vi)")) & F.expr(first)).selectExpr("least(us, vs) as p", "greatest(us, vs) as m")
         # pairs that share rare ones
-        rows = left.select("set_id", "n", "comp").distinct().join(parts.select("set_id", "inside", F.explode("outside").alias("shingle")), "set_id")
+        open_ = keep(left.select("set_id", "n", "comp", "inside").distinct(), "open")
+        rare = texts.join(open_.select("set_id"), "set_id", "left_semi").mapInArrow(_outside(width, common), "set_id binary, shingle long")
+        rows = keep(open_.join(rare, "set_id"), "rare")
         both = rows.select("shingle", *end("u")).join(rows.select("shingle", *end("v")), "shingle").filter(apart & F.expr("us < vs"))
         both = both.groupBy("us", "vs").agg(F.count("*").alias("both"), *[F.first(c).alias(c) for c in ("un", "vn", "ui", "vi")]).filter(enough.format("(least(ui, vi) + both)")).selectExpr("us as p", "vs as m")
-        rest = both if most.isEmpty() else alike.union(both).distinct()
-        labels = linked(keep(rest, "pairs"), "near-rest")
-    clear()
+        pairs = both if largest.isEmpty() else alike.union(both)
+        links = linked(pairs.withColumn("part", F.expr("pmod(xxhash64(m), 16)")), "rest")
+        if not links.isEmpty():
+            of = lambda c, x: tops.select(F.col("node").alias(c), F.col("comp").alias(x))
+            edges = links.join(of("p", "u"), "p", "left").join(of("m", "v"), "m", "left").select(F.coalesce("u", "p").alias("u"), F.coalesce("v", "m").alias("v"))
+            more = components(edges.filter("u <> v"), "near-rest", spent)
     # a component's id is its least document
-    named = keep(classes.select("set_id", "first").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id")), "named")
-    tops = C.spread_join(named.select("set_id", "comp"), named.groupBy("comp").agg(F.min("first").alias("top")), ["comp"]).select("set_id", "top")
-    placed = C.save(C.spread_join(sketches, tops, ["set_id"], "left"), C.scratch(spark, "near-placed"))
-    clear()
+    comps = classes.select("set_id", "first", "docs").join(tops.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
+    if more is not None:
+        comps = comps.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("on")), "comp", "left").withColumn("comp", F.coalesce("on", "comp")).drop("on")
+    comps = keep(comps, "comps")
+    least = keep(comps.groupBy("comp").agg(F.min("first").alias("top"), F.count("*").alias("size")), "least")
+    ends = keep(C.spread_join(comps, least, ["comp"], size="size").select("set_id", "top", "docs"), "ends")
+    placed = C.save(C.spread_join(sketches, ends, ["set_id"], "left", size="docs").drop("docs"), C.scratch(spark, "near-placed"))
     C.drop(spark, *spent)
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id"))

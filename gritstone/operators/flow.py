@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gritstone.operators.graph import connected, reach, written
+from gritstone.operators.graph import MERGE, Rounds, connected, reach, written
 from gritstone.sources.tables import table
 
 ZERO, RETURN = "0", "$ret"
@@ -144,16 +144,20 @@ def _meet(idom: dict[int, int], place: dict[int, int], a: int, b: int) -> int:
     return a
 
 
-def ancestors(parents: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(class, ancestor, depth) of (class, parent) rows, itself at depth 0 included; the least depth of each pair."""
-    seen = front = written(parents.select("class").unionByName(parents.select(F.col("parent").alias("class"))).distinct().select("class", F.col("class").alias("ancestor"), F.lit(0).alias("depth")), "classes")
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(class, ancestor, depth) of (class, parent) rows, itself at depth 0 included; the least depth of each pair. Ends when nothing is new, cycles included."""
+    rounds, depth = Rounds(parents.sparkSession), 0
+    seen = front = rounds.keep(parents.select("class").unionByName(parents.select(F.col("parent").alias("class"))).distinct().select("class", F.col("class").alias("ancestor"), F.lit(0).alias("depth")), "classes")
     up = parents.select(F.col("class").alias("ancestor"), "parent")
-    for depth in range(1, max_depth + 1):
-        front = written(front.join(up, "ancestor").select("class", F.col("parent").alias("ancestor")).distinct().join(seen, ["class", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "classes")
+    while True:
+        depth += 1
+        front = rounds.keep(front.join(up, "ancestor").select("class", F.col("parent").alias("ancestor")).distinct().join(seen, ["class", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "classes")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen
+        if depth % MERGE == 0:
+            seen = rounds.keep(seen, "classes")
+    return rounds.result(seen, "ancestors")
 
 
 def resolve_methods(above: DataFrame, methods: DataFrame) -> DataFrame:
@@ -171,13 +175,13 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return rows.select("file", "caller", "name", F.when(F.col("n_near") == 1, F.col("near")).when(F.col("n_near").isNull() & (F.col("n_far") == 1), F.col("far")).alias("callee"))
 
 
-def invalidated(before: DataFrame, now: DataFrame, functions: DataFrame, calls: DataFrame, max_depth: int = 64) -> DataFrame:
+def invalidated(before: DataFrame, now: DataFrame, functions: DataFrame, calls: DataFrame) -> DataFrame:
     """(qid): functions of changed, added or removed files (path, hash), and all that call them, however far."""
     b, n = before.select("path", F.col("hash").alias("was")), now.select("path", F.col("hash").alias("is"))
     moved = b.join(n, "path", "full_outer").filter("not (was <=> is)").select("path")
     seeds = functions.join(moved, functions["file"] == moved["path"], "left_semi").select(F.col("qid").alias("node"))
     back = calls.filter("callee is not null").select(F.col("callee").alias("src"), F.col("caller").alias("dst")).distinct()
-    return reach(back, seeds, max_depth).select(F.col("node").alias("qid"))
+    return reach(back, seeds, None).select(F.col("node").alias("qid"))
 
 
 def dead_functions(functions: DataFrame, calls: DataFrame, entry_files: DataFrame) -> DataFrame:
@@ -186,10 +190,10 @@ def dead_functions(functions: DataFrame, calls: DataFrame, entry_files: DataFram
     return functions.filter("exported").join(used, "qid", "left_anti").join(entry_files, "file", "left_anti")
 
 
-def relevance(imports: DataFrame, files: DataFrame, entries: DataFrame, max_depth: int = 64) -> DataFrame:
+def relevance(imports: DataFrame, files: DataFrame, entries: DataFrame) -> DataFrame:
     """(file, depth, relevance): direct (an entry or its import), indirect or unreachable, by imports (src, dst). ``unreachable`` is
     said only if there are entries and no reached file has an import that isn't resolved (null dst); else ``unknown``."""
-    found = written(reach(imports.filter("dst is not null"), entries.select(F.col("file").alias("node")), max_depth), "relevance")
+    found = reach(imports.filter("dst is not null"), entries.select(F.col("file").alias("node")), None)
     loose = imports.filter("dst is null").select(F.col("src").alias("node")).join(found, "node", "left_semi")
     complete = not entries.isEmpty() and loose.isEmpty()
     rows = files.join(found.withColumnRenamed("node", "file"), "file", "left")

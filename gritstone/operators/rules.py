@@ -72,21 +72,22 @@ def rule_findings(lines: DataFrame, rules: Iterable[dict]) -> DataFrame:
     return hits.select("hit.rule", "path", "line", "hit.severity", "hit.shadow")
 
 
-_BLOCK = re.compile(r"deny\s*\[\s*(\w+)\s*\]\s*\{([^}]*)\}")
-_TEST = re.compile(r'^(not\s+)?finding\.([\w.]+)\s*(?:(==|!=|>=|<=|>|<)\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?|true|false))?$')
+_BLOCK = re.compile(r"\bdeny(?:\s*\[\s*(\w+)\s*\])?\s*\{([^}]*)\}")
+_TEST = re.compile(r'^(not\s+)?(?:finding|input)\.([\w.]+)\s*(?:(==|!=|>=|<=|>|<)\s*("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?|true|false))?$')
 _MESSAGE = re.compile(r'^(\w+)\s*:?=\s*(?:sprintf\(\s*"([^"]*)"\s*,\s*\[([^\]]*)\]\s*\)|"([^"]*)")$')
 
 
-def policy_messages(findings: DataFrame, policy: str) -> DataFrame:
-    """Findings with ``msg``, a row for each deny block that holds. A block is lines of comparisons on ``finding.field``, all of which must
-    hold, and one message, plain or sprintf with %v. What can't be read raises ValueError: a policy isn't half applied."""
+def policy_messages(findings: DataFrame, policy: str, lenient: bool = False) -> DataFrame:
+    """Findings with ``msg``, a row for each deny block, named or not, that holds. A block is lines of comparisons on ``finding.field`` or ``input.field``, all of which must
+    hold, and one message, plain or sprintf with %v ("policy violation" in a block without a name). What can't be read raises ValueError, so that no policy is half applied;
+    a lenient reader skips such lines, and has that message where a block has none."""
     messages = []
     for name, body in _BLOCK.findall(policy):
         holds, msg = F.lit(True), None
         for line in filter(None, (x.strip() for x in re.split(r"[\n;]", body))):
             if line.startswith("#") or line == "finding := input.findings[_]":
                 continue
-            if (m := _MESSAGE.match(line)) and m[1] == name:
+            if (m := _MESSAGE.match(line)) and m[1] == (name or "msg"):
                 args = [F.col(a.strip().removeprefix("finding.")).cast("string") for a in (m[3] or "").split(",") if a.strip()]
                 msg = F.lit(m[4]) if m[4] is not None else F.format_string(m[2].replace("%v", "%s"), *args)
             elif m := _TEST.match(line):
@@ -99,16 +100,22 @@ def policy_messages(findings: DataFrame, policy: str) -> DataFrame:
                     test = {"==": field == value, "!=": field != value, ">=": field >= value, "<=": field <= value, ">": field > value, "<": field < value}[op]
                     test = ~F.coalesce(test, F.lit(False)) if m[1] else F.coalesce(test, F.lit(False))
                 holds = holds & test
-            else:
+            elif not lenient:
                 raise ValueError(f"policy line not understood: {line}")
         if msg is None:
-            raise ValueError(f"deny block without {name}")
+            if name and not lenient:
+                raise ValueError(f"deny block without {name}")
+            msg = F.lit("policy violation")
         messages.append(F.when(holds, msg))
     if not messages:
         raise ValueError("policy without deny blocks")
     return findings.withColumn("msg", F.explode(F.array_compact(F.array(*messages))))
 
 
+#: Fixed value: what the first line of a chain has before it.
+GENESIS = "GENESIS"
+
+
 def query_nodes(nodes: DataFrame, **wanted: str) -> DataFrame:
     """Nodes (file, qid, kind, name, ...) by equality, or by a pattern where the value holds * or ? (of whole values)."""
     tests = [F.col(k).rlike("^" + re.escape(v).replace(r"\*", ".*").replace(r"\?", ".") + "$") if re.search(r"[*?]", v) else F.col(k) == v for k, v in wanted.items()]
@@ -116,9 +123,10 @@ def query_nodes(nodes: DataFrame, **wanted: str) -> DataFrame:
 
 
 def chain_breaks(log: DataFrame, key: str, order: str, line: str, previous: str) -> DataFrame:
-    """Rows of an audit log whose ``previous`` isn't the sha-256 of the line before in their chain (empty for the first)."""
+    """Rows of an audit log whose ``previous`` isn't the sha-256 of the line before in their chain (empty or GENESIS for the first)."""
     before = F.lag(F.sha2(F.col(line), 256)).over(Window.partitionBy(key).orderBy(order))
-    return log.withColumn("__before", F.coalesce(before, F.lit(""))).filter(~F.col(previous).eqNullSafe(F.col("__before"))).drop("__before")
+    held = F.coalesce(F.when(F.col("__before").isNull(), F.col(previous).isin("", GENESIS)).otherwise(F.col(previous) == F.col("__before")), F.lit(False))
+    return log.withColumn("__before", before).filter(~held).drop("__before")
 
 
 RULES = (

@@ -43,11 +43,18 @@ def line_findings_stable_id(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("stable_id").agg(F.min("rule").alias("rule"), F.min("path").alias("path"), F.min("line").cast("long").alias("line"), F.count("*").alias("copies"))
 
 
-def entropy_tokens(spark: SparkSession, d: str, least: int = 24, bits: float = 3.0) -> DataFrame:
-    """Tokens of 24 characters or more, not hex alone, with at least ``bits`` a character."""
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{24,}"), F.lit(0))).alias("token")).distinct()
-    rows = tokens.filter(~F.col("token").rlike("^[0-9a-fA-F]+$")).withColumn("entropy", F.round(T.entropy(F.col("token")), 6))
-    return rows.filter(F.col("entropy") >= bits)
+def secret_tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, token, entropy of the tokens in docs (doc_id, text) that look like secrets."""
+    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{24,}"), F.lit(0))).alias("token")).distinct()
+    return tokens.filter(T.high_entropy(F.col("token"))).withColumn("entropy", F.round(T.entropy(F.col("token")), 6))
+
+
+def entropy_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Each part as a settings line whose value is base64, hex, or of few characters; and all documents, whose long tokens are hex."""
+    h = F.sha2(F.col("p_partkey").cast("string"), 256)
+    value = F.when(F.col("p_size") % 3 == 0, F.base64(F.unhex(h))).when(F.col("p_size") % 3 == 1, h).otherwise(F.repeat(F.lit("ab"), F.lit(14)))
+    settings = table(spark, d, "part").select((-F.col("p_partkey")).alias("doc_id"), F.concat(F.lit('key = "'), value, F.lit('"')).alias("text"))
+    return secret_tokens(settings.unionByName(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def redaction_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.functions.text import REDACTIONS
 from gritstone.operators import findings, flow, graph, rules, scan
+from gritstone.plans import content, posture
 from gritstone.plans.dialect import spark_query, spell
 from gritstone.plans.statements import FINDINGS, STATEMENTS
 from gritstone.sources import reports
@@ -21,16 +21,7 @@ def _q(pattern: str) -> str:
 
 
 _HITS = " union all ".join(f"select path, lang, line, snippet, '{r}' as rule, '{s}' as severity, '{k}' as shape from {_LINES} l where regexp_matches(snippet, {_q(p)})" for r, p, s, k in scan.RULES)
-_NORMAL = """substr(lower(trim(regexp_replace(regexp_replace(snippet, '"[^"]*"|''[^'']*''', '_S_', 'g'), '[ \t]+', ' ', 'g'))), 1, 200)"""
-_EDGES = "(select 'n' || c_nationkey as src, 'c' || c_custkey as dst from customer union all select 'c' || o_custkey, 'o' || o_orderkey from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT')"
-
-
-def _redaction_sql() -> str:
-    text, counts = "text", []
-    for name, pattern, put in REDACTIONS:
-        counts.append(f"cast(len(regexp_extract_all({text}, {_q(pattern)})) as bigint) as n_{name}")
-        text = f"regexp_replace({text}, {_q(pattern)}, '{put}', 'g')"
-    return f"select * from (select doc_id, {', '.join(counts)}, length({text}) as redacted_chars from documents) t where " + " + ".join(f"n_{n}" for n, _, _ in REDACTIONS) + " > 0"
+_EDGES = "(select 'n' || c_nationkey as src, 'c' || c_custkey as dst from customer union all select 'c' || o_custkey, 'o' || o_orderkey from orders union all select distinct 'o' || l_orderkey, 'p' || l_partkey from lineitem)"
 
 
 def _up(x: str, digits: int) -> str:
@@ -50,22 +41,9 @@ _SCORES = f"""
       case when risk >= 85 then 'critical' when risk >= 65 then 'high' when risk >= 35 then 'medium' when risk >= 15 then 'low' else 'minimal' end as risk_tier, sure, loss,
       case when owner % 4 = 3 then 'WAIT_FOR_PATCH' when owner % 97 = 0 and open_ then case when owner % 4 in (1, 2) then 'AUTO_MERGE_PATCH' else 'MANUAL_REVIEW' end when done then 'ACCEPT_RISK' when owner % 4 = 0 then 'MANUAL_REVIEW'
         when owner % 4 = 2 and severity in ('high', 'critical') then 'AUTO_MERGE_PATCH' when owner % 4 = 1 and severity = 'critical' then 'AUTO_MERGE_PATCH' else 'MANUAL_REVIEW' end as verdict from k"""
-_REPORT_ENDS = (("markdown", 2, 0), ("html", 2, 1), ("junit", 2, 1), ("sarif", 1, 1), ("stix", 1, 1), ("vex", 1, 1))
-
 #: name: (query, SQL or None)
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "secret_pii_findings": (scan.secret_pii_findings, f"select lang, rule, severity, count(*) as findings, count(distinct path) as files from ({_HITS}) h group by lang, rule, severity"),
-    "line_findings_stable_id": (
-        scan.line_findings_stable_id,
-        f"select substr(sha256(rule || '|' || {_NORMAL} || '|' || shape || '|' || split_part(path, '/', -2) || '|' || split_part(path, '/', -1)), 1, 16) as stable_id, min(rule) as rule, min(path) as path, min(line) as line, count(*) as copies from ({_HITS}) h group by 1",
-    ),
-    "entropy_tokens": (
-        scan.entropy_tokens,
-        "with t as (select distinct doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{24,}')) as token from documents), f as (select * from t where not regexp_matches(token, '^[0-9a-fA-F]+$')), "
-        "c as (select doc_id, token, unnest(string_split(token, '')) as ch from f), n as (select doc_id, token, ch, count(*) as k, cast(length(token) as double) as n from c group by all), "
-        "e as (select doc_id, token, round(-sum(k / n * log2(k / n)), 6) as entropy from n group by doc_id, token) select * from e where entropy >= 3.0",
-    ),
-    "redaction_counts": (scan.redaction_counts, _redaction_sql()),
     "html_rule_scan": (scan.html_rule_scan, "select page_id, len(regexp_extract_all(html, '<script')) as scripts, len(regexp_extract_all(html, 'on(click|load|error)=')) as handlers from pages where regexp_matches(html, '<script[^>]*>') and not contains(lower(html), 'content-security-policy')"),
     "url_path_normalize": (
         scan.url_path_normalize,
@@ -78,18 +56,6 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         f"with l as (select path, line, regexp_matches(snippet, '[0-9]{{3,}}') as o, min(case when regexp_matches(snippet, '[Ll]icensed under') then line end) over (partition by path) as first from {_LINES} x) "
         "select path, min(first) as anchor_line, count(*) as near_lines from l where o and abs(line - first) <= 5 group by path",
     ),
-    "contamination_match": (
-        scan.contamination_match,
-        "with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda w: w <> '') as w from documents), b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda w: w <> '') as w from benchmark), "
-        "g as (select doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) as gram from d where len(w) >= 8) "
-        "select distinct doc_id, item_id from g join b on gram = array_to_string(w[1:8], ' ') and len(w) >= 8",
-    ),
-    "tool_compare_band": (
-        findings.tool_compare_band,
-        "with a as (select event_id, user_id as file, cast(floor(epoch(ts) / 600) as bigint) as line from events where event_type in ('error', 'view')), b as (select event_id as other, user_id as file, cast(floor(epoch(ts) / 600) as bigint) as spot from events where event_type in ('click', 'purchase')), "
-        "m as (select event_id, other, spot - line as offset_, row_number() over (partition by event_id order by spot - line, other) as rn from a join b on a.file = b.file and spot - line between -2 and 2) "
-        "select a.event_id, m.other, cast(m.offset_ as bigint) as line_offset, case when m.other is null then 'ours_only' else 'both' end as side from a left join m on a.event_id = m.event_id and rn = 1",
-    ),
     "asof_previous_event": (
         findings.asof_previous_event,
         "select e.event_id, (select max_by(s.event_id, (s.ts, s.event_id)) from events s where s.user_id = e.user_id and s.event_type = 'signup' and s.ts <= e.ts) as signup from events e where e.event_type = 'purchase'",
@@ -110,19 +76,22 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     ),
     "taint_flows": (
         findings.taint_flows,
-        "with recursive f as (select 'n' || c_nationkey as src, 'c' || c_custkey as dst, c_mktsegment = 'BUILDING' as san, c_acctbal < 0 as cut from customer union all select 'c' || o_custkey, 'o' || o_orderkey, false, false from orders where o_orderpriority = '1-URGENT'), "
+        "with recursive f as (select 'n' || c_nationkey as src, 'c' || c_custkey as dst, c_mktsegment = 'BUILDING' as san, c_acctbal < 0 as cut from customer union all select 'c' || o_custkey, 'o' || o_orderkey, false, false from orders), "
         "t as (select 'n' || n_nationkey as source, 'n' || n_nationkey as node, false as sanitized from nation where n_regionkey = 3 union select source, dst, sanitized or san from t join f on src = node where not cut) "
         "select sanitized, count(*) as flows from t join orders on node = 'o' || o_orderkey where o_orderstatus = 'F' group by sanitized",
     ),
     "stream_event_windows": (state.stream_event_windows, "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2"),
+    "triage_sync": (
+        state.triage_sync,
+        # a user is open on the days that see them, fixed on the first day after that doesn't; opened is the first day
+        "with s as (select distinct date_diff('day', date '2024-01-01', cast(ts as date)) as scan, user_id as id from events where event_type = 'error'), d as (select distinct scan from s), "
+        "u as (select id, min(scan) as opened, min(scan) as first from s group by id), g as (select id, min(d.scan) as gone from u join d on d.scan > opened where not exists (select 1 from s where s.id = u.id and s.scan = d.scan) group by id) "
+        "select case when gone is null then 'open' else 'fixed' end as state, opened, count(*) as n from u left join g on g.id = u.id group by 1, 2",
+    ),
     "triage_state": (
         state.triage_state,
         "select user_id, case when arg_max(event_type, (ts, event_id)) = 'error' then 'open' else 'fixed' end as state, count(*) filter (event_type = 'error') as errors, max(event_id) as last_event from events where event_type in ('error', 'purchase') group by user_id",
     ),
-    "watch_delta": (
-        findings.watch_delta,
-        "select change, count(*) as n from (select event_id, 'added' as change from events where event_id % 2 = 0 and event_id % 3 <> 0 and event_type = 'error' union all select event_id, 'fixed' from events where event_id % 2 <> 0 and event_id % 3 = 0 and event_type = 'error') t group by change",
-    ),
     "session_windows": (
         findings.session_windows,
         "with g as (select user_id, ts, case when lag(ts) over (partition by user_id order by ts, event_id) >= ts - interval 6 hour then 0 else 1 end as new from events), s as (select user_id, sum(new) over (partition by user_id order by ts rows unbounded preceding) as sid from g) "
@@ -163,17 +132,16 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         f"select id, 'finding ' || id || ' of ' || owner as msg from {FINDINGS} f where severity = 'critical' and status = 'O' and price >= 300000 union all select id, 'large and high' from {FINDINGS} f where severity = 'high' and status <> 'F' and price > 400000",
     ),
     "finding_scores": (rules.finding_scores, _SCORES),
-    "report_sizes": (
-        reports.report_sizes,
-        " union all ".join(f"select * from (values ('{k}', 0, {a}), ('{k}', 2, {b})) v(kind, part, lines) where lines > 0 union all select '{k}', 1, n from (select count(*) as n from (select distinct path, line, rule from ({_HITS}) h) u) w" for k, a, b in _REPORT_ENDS),
-    ),
     "stream_alerts": (state.stream_alerts, "select distinct 'A' || user_id as advisory, event_type as ecosystem from events where value > 50"),
 }
 
 
+_ALL = FRAMES | content.QUERIES | posture.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: f for n, (f, _) in FRAMES.items()} | {n: spark_query(s) for n, s in STATEMENTS.items()}
+    return {n: f for n, (f, _) in _ALL.items()} | {n: spark_query(s) for n, s in STATEMENTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s for n, (_, s) in FRAMES.items() if s} | {n: spell(s, duck=True) for n, s in STATEMENTS.items()}
+    return {n: s for n, (_, s) in _ALL.items() if s} | {n: spell(s, duck=True) for n, s in STATEMENTS.items()}

@@ -24,26 +24,13 @@ STATEMENTS: dict[str, str] = {
         where severity in ('critical', 'high') and status = 'O' and price >= 250000""",
     "exit_gate": f"select owner % 10 as team, case min(sev_rank) when 0 then 3 when 1 then 2 when 4 then 0 else 1 end as exit_code, count(*) as findings from {FINDINGS} f where status = 'O' group by owner % 10",
     "confidence_views": f"select case when p >= 0.9 then 'honest' when p >= 0.5 then 'default' else 'firehose' end as view_name, count(*) as findings from {SCORED} s group by 1",
-    "query_page": """
-        select doc_id, total from (select doc_id, count(*) over () as total, row_number() over (order by doc_id) as rn
-        from documents where contains(lower(text), 'licensed') and contains(lower(text), 'the')) t where rn > 5 and rn <= 55""",
     # ---- joins ----
     "enrich_best_match": """
         select l_orderkey, {top(l_partkey; price_key)} as partkey, max(p_retailprice) as best, max(p_retailprice) >= 1000 as exploited_now
         from (select l.l_orderkey, l.l_partkey, p.p_retailprice, p.p_retailprice * 10000000 - l.l_partkey as price_key from lineitem l left join part p on l.l_partkey = p.p_partkey) t group by l_orderkey""",
-    "typosquat": """
-        select name, near_to, cast(distance as bigint) as distance from (
-          select a.name, b.name as near_to, {near(a.name; b.name)} as distance, row_number() over (partition by a.name order by {near(a.name; b.name)}, b.name) as rn
-          from (select distinct p_name as name from part where p_size > 3) a join (select p_name as name from part group by p_name having count(*) >= 20) b
-          on abs(length(a.name) - length(b.name)) <= 2 and a.name <> b.name and {near(a.name; b.name)} between 1 and 2
-          where a.name not in (select p_name from part group by p_name having count(*) >= 60)) t where rn = 1""",
     "suppress_active": f"""
         select id, severity from {FINDINGS} f where not exists (select 1 from customer c where c.c_custkey = f.owner and c.c_mktsegment = 'BUILDING')
         and not (status = 'F' and {{days(opened; date '2001-08-02')}} > 365)""",
-    "accept_risk_or": """
-        select l_orderkey, l_linenumber, case when s.s_suppkey is not null then 'supplier' else 'part' end as by_what
-        from lineitem l left join (select s_suppkey from supplier where s_acctbal < 500) s on l.l_suppkey = s.s_suppkey
-        left join (select p_partkey from part where p_brand = 'Brand#3') p on l.l_partkey = p.p_partkey where s.s_suppkey is not null or p.p_partkey is not null""",
     "feedback_quorum": """
         with last_ones as (select *, row_number() over (order by ts desc, event_id desc) as rn from events),
         fp as (select user_id from last_ones where rn <= 500 and event_type = 'click' group by user_id having count(*) >= 2)
@@ -61,53 +48,25 @@ STATEMENTS: dict[str, str] = {
         join (select lower(trim(event_type)) as topic, count(distinct user_id) as consumers from events where value <= 20 group by 1) b on a.topic = b.topic""",
     "advisory_match_once": """
         select advisory, min(l_orderkey) as first_component, count(*) as components from (select p_partkey as advisory from part where p_type = 'ECONOMY' and p_size > 40) a join lineitem on l_partkey = advisory group by advisory""",
-    "license_one_hop": """
-        select distinct a.l_orderkey from lineitem a join part p on a.l_partkey = p.p_partkey where p_name like '%bolt%' and l_discount > 0.05""",
     # ---- aggregates ----
     "severity_histogram": f"select status, count(*) as total, {', '.join(f"count(case when severity = '{s}' then 1 end) as {s}" for s in ('critical', 'high', 'medium', 'low', 'info'))} from {FINDINGS} f group by status",
     "findings_per_kloc": """
         select lang, count(*) as files, round(sum(n_lines) / 1000e0, 1) as kloc, cast(sum(hits) as bigint) as findings, round(sum(hits) / (sum(n_lines) / 1000e0), 3) as density
         from (select lang, 1 + length(text) - length(replace(text, chr(10), '')) as n_lines, case when contains(text, 'icensed under') then 1 else 0 end as hits from documents) t group by lang""",
-    "stability_percentiles": """
-        select event_type, count(*) as n, round(10000e0 * count(case when value > 30 then 1 end) / count(*), 2) as slow_per_10k, {nth(value; 0.5)} as p50, {nth(value; 0.95)} as p95, {nth(value; 0.99)} as p99
-        from events group by event_type""",
-    "top_clusters": """
-        select lang, source, n, samples from (select lang, source, n, samples, row_number() over (order by n desc, lang, source) as rn
-        from (select lang, source, count(*) as n, {distinct3(doc_id)} as samples from documents group by lang, source) g) t where rn <= 20""",
-    "prf_by_family": f"""
-        select lang, tp, fp, fn, tn, round(tp / nullif(cast(tp + fp as double), 0), 4) as pr, round(tp / nullif(cast(tp + fn as double), 0), 4) as rc from (
-        select lang, count(case when p >= 0.25 and quality = 1 then 1 end) as tp, count(case when p >= 0.25 and quality = 0 then 1 end) as fp,
-        count(case when p < 0.25 and quality = 1 then 1 end) as fn, count(case when p < 0.25 and quality = 0 then 1 end) as tn from {SCORED} s group by lang) t""",
-    "brier_ece": f"""
-        select count(*) as n, round(avg((p - quality) * (p - quality)), 6) as brier from {SCORED} s""",
     "ece_bins": f"""
         select bin, count(*) as n, round(avg(p), 6) as mean_p, round(avg(quality), 6) as mean_y from (select p, quality, cast(least(9, floor(least(99999e-5, p) * 10)) as int) as bin from {SCORED} s) t group by bin""",
     "wilson_ci": f"""
         select source, n, k, round((k / n + 3.841458820694124 / (2 * n) - 1.959963984540054 * sqrt((k / n) * (1 - k / n) / n + 3.841458820694124 / (4 * n * n))) / (1 + 3.841458820694124 / n), 6) as lo,
         round((k / n + 3.841458820694124 / (2 * n) + 1.959963984540054 * sqrt((k / n) * (1 - k / n) / n + 3.841458820694124 / (4 * n * n))) / (1 + 3.841458820694124 / n), 6) as hi
         from (select source, cast(count(*) as double) as n, cast(sum(quality) as double) as k from {SCORED} s group by source) t""",
-    "kappa": f"""
-        select n, round(po, 6) as po, round(pe, 6) as pe, round((po - pe) / nullif(1 - pe, 0), 6) as kappa from (
-        select n, (a + d) / n as po, ((a + b) * (a + c) + (c + d) * (b + d)) / (n * n) as pe from (
-        select cast(count(*) as double) as n, sum(case when p >= 0.25 and quality = 1 then 1.0e0 else 0.0e0 end) as a, sum(case when p >= 0.25 and quality = 0 then 1.0e0 else 0.0e0 end) as b,
-        sum(case when p < 0.25 and quality = 1 then 1.0e0 else 0.0e0 end) as c, sum(case when p < 0.25 and quality = 0 then 1.0e0 else 0.0e0 end) as d from {SCORED} s) t) u""",
-    "calibration_drift": f"select source, count(*) as n, round(avg(p), 6) as reported, round(avg(quality), 6) as realised from {SCORED} s group by source having count(*) >= 10 and abs(avg(p) - avg(quality)) >= 0.15",
-    "calibration_table": f"select lang, cast(sum(quality) as bigint) as tp, cast(count(*) - sum(quality) as bigint) as fp, count(*) as n, count(*) >= 30 as calibrated from {SCORED} s group by lang",
     "scorecard_slices": f"select lang, source, count(*) as n, count(case when p >= 0.25 and quality = 1 then 1 end) as detected, cast(sum(quality) as bigint) as positives from {SCORED} s group by grouping sets ((lang), (source), ())",
     "sla_breaches": f"""
         select severity, count(*) as open_findings, count(case when age > sla then 1 end) as breaches from (select severity, {{days(opened; date '2001-08-02')}} as age,
         case severity when 'critical' then 7 when 'high' then 30 when 'medium' then 60 when 'low' then 90 else 180 end as sla from {FINDINGS} f where status = 'O') t group by severity""",
-    "mttr_median": f"select severity, count(*) as n, {{nth(age; 0.5)}} as median_age from (select severity, cast({{days(opened; date '2001-08-02')}} as bigint) as age from {FINDINGS} f where status = 'F') t group by severity",
-    "fix_duration_buckets": "select case when l_returnflag = 'R' then 'failed' when l_linestatus = 'F' then 'validated' else 'without_tests' end as bucket, count(*) as n, {nth(l_quantity; 0.5)} as p50, {nth(l_quantity; 0.9)} as p90 from lineitem group by 1",
     "risk_dollars": """
         select p_type, cast(sum(floor(l_quantity * 1000 * case when l_returnflag = 'R' then 1.0e0 when l_returnflag = 'A' then 0.7e0 else 0.3e0 end * greatest(0.4e0, 1 - l_discount * 5) + 0.5)) as bigint) as loss
         from lineitem join part on l_partkey = p_partkey group by p_type""",
     "category_score": f"select owner, cast(greatest(0, 100 - sum(case severity when 'critical' then 25 when 'high' then 15 when 'medium' then 6 when 'low' then 2 else 0 end)) as bigint) as score from {FINDINGS} f group by owner",
-    "posture_grade_rank": """
-        select s_suppkey, grade, cast(row_number() over (order by crit, high, grade, s_suppkey) as bigint) as rank_no from (select s_suppkey, crit, high,
-        case when crit = 0 and high = 0 and med = 0 then 'A' when crit = 0 and high = 0 and med <= 5 then 'B' when crit = 0 and high <= 2 then 'C' when crit <= 1 and high <= 5 then 'D' else 'F' end as grade from (
-        select s_suppkey, count(case when l_quantity >= 49 and l_discount >= 0.09 then 1 end) as crit, count(case when l_quantity >= 48 and l_discount = 0.08 then 1 end) as high, count(case when l_quantity >= 48 and l_discount = 0.07 then 1 end) as med
-        from supplier left join lineitem on l_suppkey = s_suppkey group by s_suppkey) t) u""",
     "layer_matrix": "select user_id, count(case when event_type = 'error' then 1 end) as error, count(case when event_type = 'click' then 1 end) as click, count(case when event_type = 'view' then 1 end) as view_, round(count(case when event_type = 'error' then 1 end) / cast(count(*) as double), 4) as share from events group by user_id",
     "consensus_deviation": """
         select l_suppkey, l_orderkey, l_linenumber from (select l_suppkey, l_orderkey, l_linenumber, l_returnflag, count(*) over (partition by l_suppkey) as n, count(case when l_returnflag <> 'R' then 1 end) over (partition by l_suppkey) as guarded
@@ -117,8 +76,6 @@ STATEMENTS: dict[str, str] = {
         select r_name, count(*) as checks, count(case when c > 55 then 1 end) as passed, min(case when c > 55 then 1 else 0 end) = 1 as satisfied from (
         select r_name, n_nationkey, count(c_custkey) as c from region left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey group by r_name, n_nationkey) t group by r_name""",
     "cache_economics": "select role, count(*) as turns, cast(sum(length(text)) as bigint) as chars, round(sum(length(text)) / 4e0 * case role when 'assistant' then 15 else 3 end / 1000000, 6) as cost from conversations group by role",
-    "root_cause_bundle": """
-        select l_returnflag, l_linestatus, count(*) as n, {top(l_suppkey; c_key)} as shared_supplier from (select l_returnflag, l_linestatus, l_suppkey, count(*) * 100000 - l_suppkey as c_key from lineitem group by l_returnflag, l_linestatus, l_suppkey) t group by l_returnflag, l_linestatus having count(*) >= 3""",
     # ---- windows ----
     "cluster_keeper": """
         select l_partkey, l_orderkey, l_linenumber, size from (select l_partkey, l_orderkey, l_linenumber, count(*) over (partition by l_partkey) as size, row_number() over (partition by l_partkey order by l_quantity desc, l_extendedprice desc, l_orderkey, l_linenumber, l_suppkey) as rn from lineitem) t where rn = 1""",
@@ -142,16 +99,7 @@ STATEMENTS: dict[str, str] = {
         select 'size', doc_id, row_number() over (order by n_chars desc, doc_id) from documents union all
         select 'recent', doc_id, row_number() over (order by doc_id desc) from documents) t where rn <= 34""",
     "latest_per_key": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) t where rn = 1",
-    "hash_chain_verify": """
-        select conv_id, count(*) as n, count(case when prev is null or {hash(concat(prev; text))} >= '0' then 1 end) as linked, min({hash(concat(coalesce(prev; ''); text))}) as least from (
-        select conv_id, text, lag(text) over (partition by conv_id order by turn) as prev from conversations) t group by conv_id""".replace("concat(prev; text)", "concat(prev, text)").replace("concat(coalesce(prev; ''); text)", "concat(coalesce(prev, ''), text)"),
     # ---- sets ----
-    "baseline_diff": f"""
-        select change, count(*) as n from (select case when a.id is null then 'added' when b.id is null then 'removed' when a.severity <> b.severity then 'changed' else 'unchanged' end as change
-        from (select id, severity from {FINDINGS} f where id % 3 <> 0) a full outer join (select id, case when id % 7 = 0 then 'low' else severity end as severity from {FINDINGS} g where id % 5 <> 0) b on a.id = b.id) t group by change""",
-    "pr_delta_summary": f"""
-        select severity, count(case when side = 'new' then 1 end) as introduced, count(case when side = 'old' then 1 end) as resolved, cast(sum(case side when 'new' then 1 else -1 end) as bigint) as net from (
-        select severity, 'new' as side from {FINDINGS} f where id % 3 = 0 and id % 5 <> 0 union all select severity, 'old' from {FINDINGS} g where id % 3 <> 0 and id % 5 = 0) t group by severity""",
     "sbom_drift": """
         select kind, count(*) as n from (select case when b.p_partkey is null then 'removed' when a.p_partkey is null then 'added' when a.v <> b.v then case when floor(a.v / 10) <> floor(b.v / 10) then 'bumped_major' else 'bumped' end when a.h <> b.h then 'substituted' else 'same' end as kind
         from (select p_partkey, p_size as v, {hash16(p_name)} as h from part where p_partkey % 11 <> 0) a

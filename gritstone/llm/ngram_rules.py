@@ -56,10 +56,10 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 def word_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     """n_words and n_repeat_words."""
-    offsets, code, words = C.split_words(texts)
-    h = C.hashes(words)[code] if len(code) else np.empty(0, np.uint64)
+    offsets, code, _ = C.split_words(texts)  # codes tell words apart within a slice, which is all that is needed
     text, first = C.windows(offsets, 3)
-    key = C.mix(C.mix(C.mix(h[first]) + h[first + 1]) + h[first + 2] + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) if len(first) else np.empty(0, np.uint64)
+    word = code.astype(np.uint64)
+    key = ((word[first] * MULTIPLIER + word[first + 1]) * MULTIPLIER + word[first + 2]) * MULTIPLIER + text.astype(np.uint64)
     coded = pa.array(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
     again = first[np.bincount(coded)[coded] > 1] if len(first) else first
     covered = np.zeros(len(code), np.int64)

@@ -80,17 +80,20 @@ HOT, HOT_LEAST = 4096, 128
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
-    """left.join(right, on, how), inner or left, where right has one row a key. A hot key's row is broadcast, so its rows of
-    left stay where they are; the rest is shuffled. ``size`` is a column of right with the number of left's rows of the key; without it they
-    are counted. Both sides are read several times: give them written."""
+    """left.join(right, on, how), inner or left, where right has one row a key. The rows of left of a hot key are cut into parts of about 1/HOT of
+    all by a hash of the row, and right's row is repeated for each part, so no task gets a hot key's rows. ``size`` is a column of right with the number
+    of left's rows of the key; without it they are counted. Both sides are read several times: give them written."""
     counts = right.select(*on, F.col(size).alias("__n")) if size else left.groupBy(*on).agg(F.count("*").alias("__n"))
     rows, most = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.max("__n"), F.lit(0))).first()
     least = max(rows // HOT, HOT_LEAST)
     if most <= least:
         return left.join(right, on, how)
-    hot = counts.filter(F.col("__n") > least).select(*on).collect()  # fewer than HOT rows
-    keys = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*on).schema))
-    return left.join(keys, on, "left_semi").join(F.broadcast(right.join(keys, on, "left_semi")), on, how).unionByName(left.join(keys, on, "left_anti").join(right.join(keys, on, "left_anti"), on, how))
+    parts = F.ceil(F.col("__n") / least).alias("__parts")
+    keys = F.broadcast(save(counts.filter(F.col("__n") > least).select(*on, parts), scratch(left.sparkSession, "hot")))  # fewer than HOT rows
+    own = F.coalesce(F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.col("__parts")), F.lit(0).cast("long"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__parts") - 1, F.lit(0).cast("long"))))
+    side = lambda df, part: df.join(keys, on, "left").withColumn("__part", part).drop("__parts")
+    return side(left, own).join(side(right, each), [*on, "__part"], how).drop("__part")
 
 
 def few(df: DataFrame, limit: int = 4096) -> DataFrame:

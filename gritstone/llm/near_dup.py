@@ -44,7 +44,7 @@ from . import _common as C
 
 ROWS, MISS = 2, 1e-4
 RARE = 8
-PART = 256  # pairs of a pivot, or members of a bucket, that are handled together
+PART, MEMBERS = 64, 256  # pairs of a pivot, and members of a bucket, that are handled together
 _KEYS = "key long, set_id binary, n long"
 _SKETCH = "doc_id long, row long, n_shingles long, set_id binary, a array<long>, b array<long>"
 
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
         core = keep(left.filter(f"100 * inside >= {percent} * n"), "core")
         by_comp = core.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key")
         largest = by_comp.agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-        largest = keep(largest.select("key", "top", "size", F.ceil(F.col("size") / PART).alias("parts")), "largest")
+        largest = keep(largest.select("key", "top", "size", F.ceil(F.col("size") / MEMBERS).alias("parts")), "largest")
         rows = C.spread_join(core, largest, ["key"], size="size").join(classes.select("set_id", "a", "b"), "set_id")
         side_of = lambda rows, x, *more: rows.select("key", *end(x), F.col("a").alias(f"{x}_a"), F.col("b").alias(f"{x}_b"), *more)
         outside = side_of(rows.filter("comp <> top"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))

@@ -31,6 +31,18 @@ def small(table="documents"):
     return duckdb.sql(f"select * from '{SMALL}/{table}.parquet' order by 1").fetchall()
 
 
+def test_spread_join_equals_a_join(spark, tmp_path):
+    rows = [(k, i) for i in range(3000) for k in [None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 700}"]]
+    left = C.save(spark.createDataFrame(rows, "k string, i int"), str(tmp_path / "l"))
+    right = C.save(left.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top")).filter("k is null or k <> 'k5'"), str(tmp_path / "r"))
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, ["k"], how).collect()))
+        for size in (None, "n"):
+            got = C.spread_join(left, right, ["k"], how, size)
+            assert got.columns == ["k", "i", "n", "top"] and sorted(map(str, got.collect())) == want
+    assert C.spread_join(left.limit(0), right, ["k"]).count() == 0
+
+
 # ---- 1 ----
 
 

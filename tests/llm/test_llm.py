@@ -2,6 +2,7 @@ import collections
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -155,6 +156,24 @@ def test_near_duplicates_at_low_similarity(spark):
         near_dup.side_for(2)
 
 
+def test_near_duplicates_leave_lone_shingles_and_shuffle_files_behind(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(300)]
+    rows = [(5 * i + k, " ".join(w if rng.random() > 0.01 * k else f"x{rng.randrange(10**6)}" for w in t.split())) for i, t in enumerate(texts) for k in range(1 + 4 * (i % 2))]
+    docs = C.save(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "d"))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in str(disk.getAllFiles().mkString(" ")).split() if "/shuffle_" in f}
+    setting, before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"), files()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, 3, 85).collect()}
+    assert got == components(rows, 3, 85)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    for _ in range(50):  # files go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
 def test_near_duplicates_tell_texts_of_one_id_apart(spark):
     a, b = "one two three four five six seven eight nine ten", "quite another text of ten words that stands here alone"
     docs = spark.createDataFrame([(1, a, 7), (5, a, 7), (5, b, 7), (5, b + " too", 7), (None, a, 7), (9, None, 7)], "doc_id long, text string, __gone_id int")

@@ -7,8 +7,9 @@ fetch the metadata alone or the tokens of a few documents alone. A small index b
 holds each part's first token, so the start of every document is known without a global sort of
 tokens and without reading them.
 
-Encoding: a text is cut at single spaces between non-space characters, where the byte-level
-pattern always cuts too, so the distinct pieces of a batch are encoded once and put together.
+Encoding: a text is cut where the byte-level pattern always cuts too (single spaces and line ends
+between other characters, signs after letters), so the distinct pieces of a batch are encoded once
+and put together, and a worker remembers a bounded number of them for its next batches.
 
 Defined cases: null or empty text gives the end id alone; null doc_id sorts first; repeated rows
 are all stored (ties in doc_id order by text); an empty table gives no rows; extra columns go.
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +45,18 @@ WRITE = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
-#: Words whose ids a worker remembers.
-KNOWN = 200_000
-#: Words that the library gets as one text.
+#: Pieces whose ids a worker remembers, and their bytes at most.
+KNOWN, KNOWN_BYTES = 200_000, 64
+#: Pieces that the library gets as one text.
 JOIN = 500
-_NEAR_SPACE = r" \s|\s "
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_BLANKS = r"\s\x0B\x1C-\x1F\x{85}\pZ\x{180E}"
+_PLAIN = rf"\A[ \n]?[^{_BLANKS}]((?s:.)*[^{_BLANKS}])?\z"
+_BYTES = np.arange(256)
+_BLANK = (_BYTES >= 9) & (_BYTES <= 13) | (_BYTES >= 28) & (_BYTES <= 32)
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in _BYTES])
+_PUNCT = (_BYTES > 32) & (_BYTES < 127) & ~_ALNUM
+_WIDE = np.isin(_BYTES, (0xC2, 0xE1, 0xE2, 0xE3))  # first bytes of the wide blanks
+_WIDE2, _WIDE3 = ([int.from_bytes(c.encode()) for c in cs] for cs in ("\x85\xa0", "\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))))
 _loaded: dict = {}
 
 
@@ -69,90 +75,130 @@ def _ids(tok, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))
 
 
-def _spaced(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """As _ids of each word with a space before it. Words without a space inside go to the library many at a
-    time, as one text; there each word's first id, and no other, is of a token that starts with the space's sign."""
-    plain = np.array([" " not in w for w in words], bool)
-    joined = ["".join(" " + w for w in itertools.compress(words[i : i + JOIN], plain[i : i + JOIN])) for i in range(0, len(words), JOIN)]
-    _, ids = _ids(tok, joined)
-    at = np.append(np.flatnonzero(_space_first(tok)[ids]), len(ids))
-    sizes = np.empty(len(words), np.int64)
-    sizes[plain] = np.diff(at)
-    if plain.all():
-        return sizes, ids
-    rest, more = _ids(tok, [" " + w for w in itertools.compress(words, ~plain)])
-    sizes[~plain] = rest
-    starts = np.empty(len(words), np.int64)
-    starts[plain], starts[~plain] = at[:-1], len(ids) + np.cumsum(rest) - rest
+def _token_bytes(tok) -> np.ndarray:
+    """Bytes of text that each id stands for."""
+    if ("bytes", id(tok)) not in _loaded:
+        vocab = tok.get_vocab()
+        sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+        sizes[list(vocab.values())] = [len(t) for t in vocab]  # a sign for each byte
+        for i, t in tok.get_added_tokens_decoder().items():
+            sizes[i] = len(t.content.encode())
+        _loaded["bytes", id(tok)] = sizes
+    return _loaded["bytes", id(tok)]
+
+
+def _piece_ids(tok, words: pa.Array, plain: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As _ids of each piece. Those that end without a blank and start with none, or with one space or line end, go to the library
+    many at a time, as one text, a line end before each that has no blank; the bytes of its tokens tell where each piece ends."""
+    if not len(words):
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    if plain is None:
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+    some = words.filter(pa.array(plain))
+    bare = pc.invert(pc.or_(pc.starts_with(some, " "), pc.starts_with(some, "\n")))
+    offsets, data = C.text_bytes(pc.binary_join_element_wise(pc.if_else(bare, "\n", ""), some, ""))
+    bare, whole = bare.to_numpy(zero_copy_only=False), data.tobytes()
+    _, ids = _ids(tok, [whole[s:e].decode() for s, e in itertools.pairwise(offsets[[*range(0, len(some), JOIN), len(some)]])])
+    width = _token_bytes(tok)[ids]
+    reached = np.concatenate([[0], np.cumsum(width)])
+    at = np.searchsorted(reached, offsets)
+    if at[-1] > len(ids) or (reached[at] != offsets).any() or (width[at[:-1][bare]] != 1).any():  # not of the byte-level kind
+        return _ids(tok, words.to_pylist())
+    sizes, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    starts[plain] = at[:-1] + bare
+    sizes[plain] = at[1:] - starts[plain]
+    rest, more = _ids(tok, words.filter(pa.array(~plain)).to_pylist())
+    sizes[~plain], starts[~plain] = rest, len(ids) + np.cumsum(rest) - rest
     return sizes, np.concatenate([ids, more])[C.ragged(starts, sizes)]
 
 
 class _Known:
-    """Ids of words that a worker has met twice in a slice, up to KNOWN words."""
+    """Ids of up to KNOWN pieces that a worker has met. When they are too many, those not met again since the last time go."""
 
-    def __init__(self):
+    def __init__(self, tok):
+        self.tok = tok  # its id is the key, so it has to stay
         self.place: dict[str, int] = {}
-        self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, np.int32)
-
-    def add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
-
-
-def _all_spaced(tok, words: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, sizes, ids) as _spaced, with what is known from earlier slices."""
-    known = _loaded.setdefault(("known", id(tok)), _Known())
-    at = np.fromiter(map(known.place.get, words, itertools.repeat(-1)), np.int64, len(words))
-    new = np.flatnonzero(at < 0)
-    sizes, ids = _spaced(tok, [words[i] for i in new])
-    starts = np.cumsum(sizes) - sizes
-    all_starts, all_sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-    all_starts[new], all_sizes[new] = len(known.ids) + starts, sizes
-    old = at >= 0
-    all_starts[old], all_sizes[old] = (np.cumsum(known.sizes) - known.sizes)[at[old]], known.sizes[at[old]]
-    ids = np.concatenate([known.ids, ids])
-    keep = np.flatnonzero(often[new])[: max(KNOWN - len(known.place), 0)]
-    if len(keep):
-        known.add([words[new[i]] for i in keep], sizes[keep], ids[C.ragged(len(known.ids) + starts[keep], sizes[keep])])
-    return all_starts, all_sizes, ids
-
-
-def _space_first(tok) -> np.ndarray:
-    if id(tok) not in _loaded:
-        flags = np.zeros(max(tok.get_vocab().values()) + 1, bool)
-        flags[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
-        _loaded[id(tok)] = flags
-    return _loaded[id(tok)]
+        self.starts, self.sizes, self.ids, self.again = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        self.again[at[at >= 0]] = True
+        return at
+
+    def add(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.place) + len(words) > KNOWN:
+            keep = np.flatnonzero(self.again)[-(KNOWN // 2) :]
+            self.place = dict(zip(np.array(list(self.place), object)[keep], range(len(keep)), strict=True))
+            self.ids, self.sizes = self.ids[C.ragged(self.starts[keep], self.sizes[keep])], self.sizes[keep]
+            self.again = np.zeros(len(keep), bool)
+        n = KNOWN - len(self.place)
+        self.place.update(zip(words[:n], range(len(self.place), len(self.place) + len(words[:n])), strict=True))
+        self.ids, self.sizes = np.concatenate([self.ids, ids[C.ragged(starts[:n], sizes[:n])]]), np.concatenate([self.sizes, sizes[:n]])
+        self.starts, self.again = np.cumsum(self.sizes) - self.sizes, np.append(self.again, np.zeros(len(words[:n]), bool))
+
+
+def _all_ids(tok, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sizes, ids) of different pieces, with what is known from earlier slices."""
+    known = _loaded.setdefault(("known", id(tok)), _Known(tok))
+    names = words.to_numpy(zero_copy_only=False)
+    at = known.find(names)
+    new, old = np.flatnonzero(at < 0), at >= 0
+    fresh = words.take(pa.array(new))
+    new_sizes, new_ids = _piece_ids(tok, fresh)
+    new_starts = np.cumsum(new_sizes) - new_sizes
+    starts, sizes, ids = np.empty(len(words), np.int64), np.empty(len(words), np.int64), np.concatenate([known.ids, new_ids])
+    starts[new], sizes[new] = len(known.ids) + new_starts, new_sizes
+    starts[old], sizes[old] = known.starts[at[old]], known.sizes[at[old]]
+    short = np.flatnonzero(pc.binary_length(fresh).to_numpy(zero_copy_only=False) <= KNOWN_BYTES)
+    if len(short):
+        known.add(names[new[short]], new_starts[short], new_sizes[short], new_ids)
+    return starts, sizes, ids
+
+
+def _blanks(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is of a blank of any script."""
+    blank, at = _BLANK[data], np.flatnonzero(_WIDE[data])
+    if len(at):
+        b = np.append(data, np.zeros(2, np.uint8)).astype(np.int64)
+        two = b[at] << 8 | b[at + 1]
+        for n, found in (2, np.isin(two, _WIDE2)), (3, np.isin(two << 8 | b[at + 2], _WIDE3)):
+            for i in range(n):
+                blank[at[found] + i] = True
+    return blank
+
+
+def _pieces(texts: pa.Array, tok) -> tuple[np.ndarray, pa.Array]:
+    """(offsets, pieces) of texts. A cut is where the byte-level pattern always cuts: before a space or line end between two characters that are no
+    blanks, and before an ASCII sign after a letter or digit (of ASCII or Latin-1), but not in a text with an added token, which may hold such a place."""
+    starts, data = C.text_bytes(texts.cast(pa.string()))
+    n = len(data)
+    if not n:
+        return np.zeros(len(texts) + 1, np.int64), pa.array([], pa.string())
+    edge, blank = np.zeros(n + 1, bool), _blanks(data)
+    edge[starts] = True
+    spaces = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10)) + 1
+    spaces = spaces[~(blank[spaces - 1] | blank[spaces + 1] | edge[spaces] | edge[spaces + 1])]
+    word = _ALNUM[data]
+    word[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # all but the signs of multiplication and division
+    signs = np.flatnonzero(_PUNCT[data[1:]] & word[:-1]) + 1
+    added = np.zeros(len(texts), bool)
+    for t in tok.get_added_tokens_decoder().values():
+        added |= pc.fill_null(pc.match_substring(texts, t.content), False).to_numpy(zero_copy_only=False)
+    if added.any():
+        signs = signs[~added[np.searchsorted(starts, signs, "right") - 1]]
+    edge[spaces] = True
+    edge[signs] = True
+    bounds = np.flatnonzero(edge)
+    return np.searchsorted(bounds, starts), pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
 
 
 def encode(texts: pa.Array, tok, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids) of whole texts, each with end_id after it; equal to encoding each text alone."""
-    texts = pc.fill_null(texts, "")
-    odd = pc.match_substring_regex(texts, _NEAR_SPACE).to_numpy(zero_copy_only=False) | pc.invert(pc.string_is_ascii(texts)).to_numpy(zero_copy_only=False) if len(texts) else np.zeros(0, bool)
-    # other scripts have more kinds of space than the Arrow pattern knows: those texts are looked at in Python
-    for i in np.flatnonzero(odd):
-        odd[i] = re.search(_NEAR_SPACE, texts[i].as_py()) is not None
-    parts = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-    offsets, flat = parts.offsets.to_numpy().astype(np.int64), parts.flatten()
-    if odd.any():
-        lists = [(_CUT.split(t) if o else None) for t, o in zip(texts.to_pylist(), odd, strict=True)]
-        sizes = np.array([len(x) if x is not None else n for x, n in zip(lists, np.diff(offsets), strict=True)], np.int64)
-        flat = pa.array(itertools.chain.from_iterable(x if x is not None else flat.slice(s, n).to_pylist() for x, s, n in zip(lists, offsets[:-1], np.diff(offsets), strict=True)), pa.string())
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-    coded = flat.dictionary_encode()
-    code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-    first = np.zeros(len(code), bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
-    later = np.unique(code[~first])
-    starts, sizes, ids = _all_spaced(tok, [words[i] for i in later], np.bincount(code, minlength=len(words))[later] > 1)
-    more_sizes, more_ids = _ids(tok, [words[i] for i in code[first]])
-    starts, sizes, ids = np.concatenate([starts, len(ids) + np.cumsum(more_sizes) - more_sizes]), np.concatenate([sizes, more_sizes]), np.concatenate([ids, more_ids])
-    at = np.empty(len(code), np.int64)
-    where = np.empty(len(words), np.int64)
-    where[later] = np.arange(len(later))
-    at[~first] = where[code[~first]]
-    at[first] = len(later) + np.arange(int(first.sum()))
-    starts, sizes = starts[at], sizes[at]
+    offsets, pieces = _pieces(texts, tok)
+    coded = pieces.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    starts, sizes, ids = _all_ids(tok, coded.dictionary)
+    starts, sizes = starts[code], sizes[code]
     if end_id is not None:  # one more piece after each text
         starts, sizes = np.insert(starts, offsets[1:], len(ids)), np.insert(sizes, offsets[1:], 1)
         ids = np.append(ids, np.int32(end_id))

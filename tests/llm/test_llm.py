@@ -81,6 +81,41 @@ def test_pieces_of_texts_encode_alike():
     assert [ids[s:e].tolist() for s, e in itertools.pairwise(offsets)] == [[*e.ids, 2] for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+class Counted:
+    """A tokenizer that counts the bytes it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.sent = tok, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tok, name)
+
+    def encode_batch_fast(self, texts, **kw):
+        self.sent += sum(len(t.encode()) for t in texts)
+        return self.tok.encode_batch_fast(texts, **kw)
+
+
+def test_words_of_earlier_slices_and_with_signs_are_not_sent_again():
+    tok = Counted(token_store.tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    token_store.encode(pa.array([" ".join(f"w{i}" for i in range(3000))]), tok)
+    sent, texts = tok.sent, ["w0 " + " ".join(f"w{i}{s}" for i in range(1, 3000)) for s in ("", ".", ",", "\nw0")]
+    offsets, ids = token_store.encode(pa.array(texts), tok)
+    assert tok.sent - sent < 100
+    assert [ids[s:e].tolist() for s, e in itertools.pairwise(offsets)] == [[*e.ids, 2] for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("known", [0, 7, 200, 200_000])
+def test_pieces_of_odd_texts_encode_alike_whatever_is_remembered(monkeypatch, known):
+    monkeypatch.setattr(token_store, "KNOWN", known)
+    tok, rng = Counted(token_store.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))), random.Random(known)
+    parts = [*" \n\n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u180e\u2000\u2009\u200a\u200b\u2028\u202f\u205f\u3000\x00\x7f", *"   aZ09é÷×ßñ²½Ωж中😀´«—“.,;'’-_<|>", "'s", "'LL", "'re", "e\u0301", "<|endoftext|>", "<|endoftext", "x" * 80, "word", " the", "\nThe", "\x7fa", ". "]
+    for _ in range(12):
+        texts = ["".join(rng.choices(parts, k=rng.choice((0, 1, 2, 5, 30)))) for _ in range(400)]
+        offsets, ids = token_store.encode(pa.array([None, *texts, ""]).slice(1, 400), tok)
+        assert [ids[s:e].tolist() for s, e in itertools.pairwise(offsets)] == [[*e.ids, 2] for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert len(token_store._loaded["known", id(tok)].place) <= known
+
+
 # ---- 2 ----
 
 

@@ -154,15 +154,27 @@ def catalog_hits(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.select("call", "entry", "kind").distinct()
 
 
-def around(writes: DataFrame, reads: DataFrame, sinks: DataFrame, near: int = 20) -> DataFrame:
-    """Round trips through a model: write (model, file, line), read (model, file, line) of the same model, and the first sink (file, line, severity critical, high or medium) of the
-    reader's file within ``near`` lines of the read. Sinks meet reads by (file, band of lines) before reads meet writes."""
+def first_sinks(reads: DataFrame, sinks: DataFrame, near: int = 20) -> DataFrame:
+    """model, read_file, read_line, sink_line, severity: the first sink (file, line, severity critical, high or medium) of a reader's file within ``near`` lines of each distinct read
+    (model, file, line). Sinks of one line become one before they meet reads by (file, band of lines), so a read meets at most twice a band's lines."""
     band = 2 * near + 1
-    sinks = sinks.filter("severity in ('critical', 'high', 'medium')").select("file", F.col("line").alias("sink_line"), "severity")
+    sinks = sinks.filter("severity in ('critical', 'high', 'medium')").groupBy("file", F.col("line").alias("sink_line")).agg(F.min("severity").alias("severity"))
     spread = sinks.withColumn("__band", F.explode(F.array_distinct(F.transform(F.array(F.lit(-near), F.lit(0), F.lit(near)), lambda o: F.floor((F.col("sink_line") + o) / band)))))
     hit = reads.select("model", "file", "line").distinct().withColumn("__band", F.floor(F.col("line") / band)).join(spread, ["file", "__band"]).filter(F.abs(F.col("sink_line") - F.col("line")) <= near)
-    hit = hit.groupBy("model", "file", "line").agg(F.min(F.struct("sink_line", "severity")).alias("s")).select("model", F.col("file").alias("read_file"), F.col("line").alias("read_line"), "s.*")
-    return writes.select("model", F.col("file").alias("write_file"), F.col("line").alias("write_line")).distinct().join(hit, "model")
+    hit = hit.groupBy("model", "file", "line").agg(F.min(F.struct("sink_line", "severity")).alias("s"))
+    return hit.select("model", F.col("file").alias("read_file"), F.col("line").alias("read_line"), "s.*")
+
+
+def around(writes: DataFrame, reads: DataFrame, sinks: DataFrame, near: int = 20) -> DataFrame:
+    """Round trips through a model: write (model, file, line), read (model, file, line) of the same model, and the read's first sink. All pairs of a model; ``round_trips`` counts them."""
+    return writes.select("model", F.col("file").alias("write_file"), F.col("line").alias("write_line")).distinct().join(first_sinks(reads, sinks, near), "model")
+
+
+def round_trips(writes: DataFrame, reads: DataFrame, sinks: DataFrame, near: int = 20) -> DataFrame:
+    """model, trips, lines: how many rows ``around`` has of each model, and their sink lines' sum, without its pairs: each write goes with each read of its model."""
+    w = writes.select("model", "file", "line").distinct().groupBy("model").agg(F.count("*").alias("__writes"))
+    r = first_sinks(reads, sinks, near).groupBy("model").agg(F.count("*").alias("__reads"), F.sum("sink_line").alias("__lines"))
+    return w.join(r, "model").select("model", (F.col("__writes") * F.col("__reads")).alias("trips"), (F.col("__writes") * F.col("__lines")).alias("lines"))
 
 
 def contracts(clients: DataFrame, servers: DataFrame) -> DataFrame:

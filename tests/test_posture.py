@@ -294,3 +294,22 @@ def _most_joined(df):
                 most = max(most, p.metrics().apply("numOutputRows").value())
             plan += [p.children().apply(i) for i in range(p.children().size())]
     return most
+
+
+def test_round_trips_are_counted_without_pairs(spark):
+    r = random.Random(2)
+    place = lambda n, models: [(r.choice(models), r.choice("pq"), r.randint(-50, 50)) for _ in range(n)]
+    writes, reads = place(60, ["a", "b", None]), place(60, ["a", "c", None])
+    sinks = [(r.choice("pq"), r.choice((1, 30)), r.choice(("critical", "high", "medium", "low"))) for _ in range(600)]
+    frames = [table(spark, writes, "model string, file string, line long"), table(spark, reads, "model string, file string, line long"), table(spark, sinks, "file string, line long, severity string")]
+    pairs = enrich.around(*frames)
+    want = set()
+    for w in set(writes):
+        for m, f, at in set(reads):
+            near = [(line, s) for g, line, s in sinks if g == f and s != "low" and abs(line - at) <= 20]
+            if m is not None and m == w[0] and near:
+                want.add((m, w[1], w[2], f, at, *min(near)))
+    assert {tuple(x) for x in pairs.select("model", "write_file", "write_line", "read_file", "read_line", "sink_line", "severity").collect()} == want and want
+    counted = enrich.round_trips(*frames)
+    assert [tuple(x) for x in counted.collect()] == [("a", len(want), sum(x[5] for x in want))]
+    assert _most_joined(counted) <= 120  # reads met each sink, and writes each read

@@ -3,10 +3,14 @@ resolution, invalidation and dead code. All but the dominators of one function a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gritstone.operators.graph import MERGE, Rounds, connected, reach, written
+from gritstone.operators.stats import null_join
 from gritstone.sources.tables import table
 
 ZERO, RETURN = "0", "$ret"
@@ -20,43 +24,139 @@ def tabulate(nodes: DataFrame, edges: DataFrame, functions: DataFrame, max_round
     reads input. ``edges`` are (qid, src, dst); ``functions`` are (qid, entry, params), entry being a node. A node without a
     successor is an exit. Every function is entered with the zero fact. An assignment kills its target and sets it again if
     it reads a tainted name or input; a call passes a tainted argument as the parameter in its place, and its target is
-    tainted where a summary of the callee ends in RETURN; the caller's own facts pass a call unchanged. Each round joins only
-    the last round's new edges and new summaries. Ends when nothing is new; raises after ``max_rounds``."""
-    node = nodes.select("qid", "node", "kind", "target", "uses", "callee", "args", F.coalesce("source", F.lit(False)).alias("source"))
-    succ = edges.select("qid", F.col("src").alias("node"), "dst").distinct()
-    body = written(node.join(succ.groupBy("qid", "node").agg(F.collect_set("dst").alias("succ")), ["qid", "node"], "left"), "body")
-    entries = written(functions.select(F.col("qid").alias("callee"), F.col("entry").alias("start"), "params"), "functions")
-    fact = F.col("fact")
-    tainted = F.when(F.col("source") & (fact == ZERO) | F.array_contains("uses", fact), F.col("target"))
-    survives = F.when((fact != F.col("target")) | F.col("target").isNull(), fact)
-    after = F.when(F.col("kind") == "assign", F.array_distinct(F.array_compact(F.array(survives, tainted)))).otherwise(F.array(fact))
-    passed = F.coalesce(F.try_element_at("params", F.nullif(F.array_position("args", fact), F.lit(0)).cast("int")), F.lit(ZERO))
-
-    key = ["qid", "node", "entry", "fact"]
-    front = seen = written(entries.select(F.col("callee").alias("qid"), F.col("start").alias("node"), F.lit(ZERO).alias("entry"), F.lit(ZERO).alias("fact")), "facts")
-    sites = summaries = None
-    for _ in range(max_rounds):
-        here = written(front.join(body, ["qid", "node"]), "here")
-        steps = here.select("qid", F.explode("succ").alias("node"), "entry", F.explode_outer(after).alias("fact")).filter("fact is not null")
-        calls = here.filter("kind = 'call' and callee is not null").join(entries, "callee").select("callee", "start", "qid", "entry", "fact", "target", "succ", passed.alias("given"))
-        calls = written(calls, "calls")
-        entered = calls.select(F.col("callee").alias("qid"), F.col("start").alias("node"), F.col("given").alias("entry"), F.col("given").alias("fact"))
-        ends = here.filter("succ is null").select(F.col("qid").alias("callee"), F.col("entry").alias("given"), F.col("fact").alias("end")).distinct()
-        ends = written(ends if summaries is None else ends.join(summaries, ["callee", "given", "end"], "left_anti"), "summaries")
-        back = calls.join(ends if summaries is None else summaries.unionByName(ends), ["callee", "given"])
-        if sites is not None:
-            back = back.unionByName(sites.join(ends, ["callee", "given"]))
-        returned = back.select("qid", F.explode("succ").alias("node"), "entry", F.when(F.col("end") == RETURN, F.col("target")).otherwise(fact).alias("fact")).filter("fact is not null")
-        new = steps.unionByName(entered).unionByName(returned).distinct().join(seen, key, "left_anti")
-        sites = calls if sites is None else sites.unionByName(calls)
-        summaries = ends if summaries is None else summaries.unionByName(ends)
-        front = written(new, "facts")
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+    tainted where the callee's exit holds RETURN; the caller's own facts pass a call unchanged.
+
+    A function's graph is one row, its size that of the function's source, and is solved whole by a task. Between functions go only
+    tainted arguments and the entries under which RETURN gets out, so rounds are as many as calls are deep, and each solves only
+    functions that these reach and writes only what is new. Ends when nothing is new; raises after ``max_rounds``."""
+    rounds, step = Rounds(nodes.sparkSession), F.col("step")
+    node = F.struct("node", "kind", "target", "uses", "callee", "args", F.coalesce("source", F.lit(False)).alias("source"))
+    body = nodes.filter("qid is not null and node is not null").select("qid", node.alias("n")).groupBy("qid").agg(F.collect_list("n").alias("body"))
+    succ = edges.filter("qid is not null and src is not null").groupBy("qid").agg(F.collect_set(F.struct("src", "dst")).alias("succ"))
+    starts = functions.groupBy("qid").agg(F.collect_set("entry").alias("starts"), F.max(F.col("entry").isNull()).alias("nowhere"))
+    graphs = rounds.keep(starts.join(body, "qid", "left").join(succ, "qid", "left"), "graphs")
+    params = functions.filter("qid is not null").select(F.col("qid").alias("callee"), "params")
+    none = F.lit(None).cast("string")
+    state = None  # (qid, entry, callee, pos, step): further entries of functions, and call sites (callee, pos) that return taint
+    waits = None  # (qid, callee, pos, given): calls with a tainted argument
+    seen = returning = None
+    for n in range(max_rounds):
+        if state is None:
+            todo = graphs.withColumn("state", F.array().cast("array<struct<entry:string,callee:string,pos:bigint,new:boolean>>"))
+        else:
+            due = state.groupBy("qid").agg(F.collect_list(F.struct("entry", "callee", "pos", (step == n).alias("new"))).alias("state"), F.max("step").alias("last")).filter(F.col("last") == n)
+            todo = graphs.join(due.drop("last"), "qid")
+        out = rounds.keep(todo.select("qid", "starts", "nowhere", "body", "succ", "state").mapInArrow(_solve, _SOLVED), "solved")
+        facts = out.filter("what = 'fact'").select("qid", "node", "entry", "fact")
+        seen = facts if seen is None else seen.unionByName(facts)
+        asked = out.filter("what = 'call'").select("qid", F.col("fact").alias("callee"), F.col("node").alias("pos")).join(params, "callee")
+        given = F.coalesce(F.try_element_at("params", F.col("pos").cast("int")), F.lit(ZERO))
+        asked = rounds.keep(asked.select("qid", "callee", "pos", given.alias("given")).distinct(), "calls")
+        ends = out.filter("what = 'end'").select(F.col("qid").alias("callee"), F.col("entry").alias("given"))
+        # who is entered anew, and which calls return taint: new calls of all that return it, and calls from before of what does now
+        entered = asked.filter(F.col("given") != ZERO).select(F.col("callee").alias("qid"), F.col("given").alias("entry")).distinct()
+        returning = ends if returning is None else returning.unionByName(ends)
+        back = asked.join(returning, ["callee", "given"])
+        if waits is not None:
+            back = back.unionByName(waits.join(ends, ["callee", "given"]))
+        waits = asked if waits is None else waits.unionByName(asked)
+        back = back.select("qid", "callee", "pos")
+        from_zero = ends.filter(F.col("given") == ZERO)
+        if not from_zero.isEmpty():
+            callers = nodes.filter("qid is not null and kind = 'call'").select("qid", "callee").distinct()
+            back = back.unionByName(callers.join(from_zero.select("callee"), "callee").select("qid", "callee", F.lit(0).cast("long").alias("pos")))
+        sent = entered.select("qid", "entry", none.alias("callee"), F.lit(None).cast("long").alias("pos"))
+        sent = sent.unionByName(back.distinct().select("qid", none.alias("entry"), "callee", "pos"))
+        if state is not None:
+            sent = null_join(sent, state.select("qid", "entry", "callee", "pos"), ["qid", "entry", "callee", "pos"], "left_anti")
+        sent = rounds.keep(sent.withColumn("step", F.lit(n + 1)), "state")
+        if sent.isEmpty():
+            return rounds.result(seen, "facts")
+        state = sent if state is None else state.unionByName(sent)
     raise RuntimeError(f"facts still change after {max_rounds} rounds")
 
 
+_SOLVED = "what string, qid string, node long, entry string, fact string"
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is new in functions (qid, starts, nowhere, body, succ, state): facts; calls (callee in ``fact``, place of the tainted argument in ``node``); and entries
+    under which RETURN gets out."""
+    for batch in batches:
+        cols = {c: batch.column(c) for c in ("starts", "body", "succ", "state")}
+        at = {c: a.value_lengths().fill_null(0).to_pylist() for c, a in cols.items()}
+        flat = {c: a.flatten() for c, a in cols.items()}
+        fields = {c: list(zip(*(f.to_pylist() for f in flat[c].flatten()), strict=True)) for c in ("body", "succ", "state")} | {"starts": flat["starts"].to_pylist()}
+        place, out = dict.fromkeys(cols, 0), []
+        for i, (qid, nowhere) in enumerate(zip(batch.column("qid").to_pylist(), batch.column("nowhere").to_pylist(), strict=True)):
+            mine = {}
+            for c in cols:
+                mine[c] = fields[c][place[c] : place[c] + at[c][i]]
+                place[c] += at[c][i]
+            body, succ = {}, {}
+            for node, *rest in mine["body"]:
+                body.setdefault(node, []).append(rest)
+            for a, b in mine["succ"]:
+                ahead = succ.setdefault(a, [])
+                if b is not None:
+                    ahead.append(b)
+            starts = [*mine["starts"], None] if nowhere else mine["starts"]
+            entries = {ZERO: False} if mine["state"] else {ZERO: True}
+            for entry, _, _, new in mine["state"]:
+                if entry is not None:
+                    entries[entry] = new
+            returns = {(c, p) for e, c, p, _ in mine["state"] if e is None}
+            before = {(c, p) for e, c, p, new in mine["state"] if e is None and not new}
+            told = set()
+            for entry, new in entries.items():
+                if new:
+                    facts, calls = _solved(starts, body, succ, entry, returns)
+                    old, old_calls = set(), set()
+                elif returns != before:
+                    facts, calls = _solved(starts, body, succ, entry, returns)
+                    old, old_calls = _solved(starts, body, succ, entry, before)
+                else:
+                    continue
+                more = facts - old
+                out += [("fact", qid, n, entry, f) for n, f in more]
+                told |= calls - old_calls
+                gets_out = lambda found: any(f == RETURN and n in body and n not in succ for n, f in found)
+                if gets_out(more) and not gets_out(old):
+                    out.append(("end", qid, None, entry, None))
+            out += [("call", qid, p, None, c) for c, p in told]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+        cols_out = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols_out, kinds, strict=True)], ["what", "qid", "node", "entry", "fact"])
+
+
+def _solved(starts: list, body: dict, succ: dict, entry: str, returns: set) -> tuple[set, set]:
+    """(node, fact) of one function entered with a fact, and its calls (callee, place) with a tainted argument."""
+    seen, calls = {(s, entry) for s in starts}, set()
+    work = list(seen)
+    while work:
+        node, fact = work.pop()
+        ahead = succ.get(node, ())
+        for kind, target, uses, callee, args, source in body.get(node, ()):
+            if kind == "assign":
+                after = [] if fact == target else [fact]
+                if target is not None and (source and fact == ZERO or uses is not None and fact in uses):
+                    after.append(target)
+            else:
+                after = [fact]
+                if kind == "call" and callee is not None:
+                    pos = args.index(fact) + 1 if args is not None and fact in args else 0
+                    if pos:
+                        calls.add((callee, pos))
+                    if target is not None and (callee, pos) in returns:
+                        after.append(target)
+            for s in ahead:
+                for f in after:
+                    if (s, f) not in seen:
+                        seen.add((s, f))
+                        work.append((s, f))
+    return seen, calls
+
+
 def tainted_sinks(facts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, node, fact): sinks that read a tainted name."""
     sinks = nodes.filter("sink").select("qid", "node", "args")
@@ -82,8 +182,6 @@ def alias_classes(copies: DataFrame, fields: DataFrame) -> DataFrame:
 def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(qid, node, idom, frontier): immediate dominators and dominance frontiers of the nodes that a function's entry reaches;
     the entry's idom is null. A function's graph is one row, its size that of the function's source; a batch holds many."""
-    from collections.abc import Iterator
-
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

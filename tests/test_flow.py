@@ -202,3 +202,14 @@ def test_manifests_and_boms(spark):
     bom = json.loads("\n".join(r.line for r in reports.lines_of(found, "cyclonedx", ["ecosystem", "name", "version"]).collect()))
     assert "pkg:npm/%40s/right@2.0.1" in {c["purl"] for c in bom["components"]}
     assert len(json.loads("\n".join(r.line for r in reports.lines_of(found, "spdx", ["ecosystem", "name", "version"]).collect()))["packages"]) == 10
+
+
+def test_rounds_of_a_tabulation_are_as_many_as_calls_are_deep(spark):
+    n = 40
+    nodes = [("f", i, "assign", f"v{i}", [f"v{i - 1}"], None, None, i == 0, False) for i in range(n)] + [("f", n, "call", "r", None, "g", [f"v{n - 1}"], False, False), ("f", n + 1, "other", None, None, None, ["r"], False, True)]
+    nodes += [("g", 0, "assign", flow.RETURN, ["a"], None, None, False, False), ("g", 1, "exit", None, None, None, None, False, False)]
+    edges, functions = [("f", i, i + 1) for i in range(n + 1)] + [("g", 0, 1)], [("f", 0, []), ("g", 0, ["a"])]
+    ns = spark.createDataFrame(nodes, flow.NODES)
+    facts = flow.tabulate(ns, spark.createDataFrame(edges, "qid string, src long, dst long"), spark.createDataFrame(functions, "qid string, entry long, params array<string>"), max_rounds=4)
+    assert {tuple(x) for x in facts.select("qid", "node", "entry", "fact").collect()} == solve(nodes, edges, functions)
+    assert [tuple(x) for x in flow.tainted_sinks(facts, ns).collect()] == [("f", n + 1, "r")]

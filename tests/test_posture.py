@@ -313,3 +313,8 @@ def test_round_trips_are_counted_without_pairs(spark):
     counted = enrich.round_trips(*frames)
     assert [tuple(x) for x in counted.collect()] == [("a", len(want), sum(x[5] for x in want))]
     assert _most_joined(counted) <= 120  # reads met each sink, and writes each read
+
+
+def test_files_of_a_small_table_are_dealt_over_tasks(spark):
+    rows = samples.code_files(spark, "/root/testdata/sf0.001")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 8  # one task read them, and scanned them all

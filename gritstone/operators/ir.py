@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.operators.graph import MERGE, Rounds, reach
+from gritstone.operators.graph import MERGE, Rounds
 
 
 def reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,24 +30,106 @@ def reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             seen = rounds.keep(seen, "facts")
 
 
+def _functions(nodes: DataFrame, edges: DataFrame, starts: DataFrame, node: list[str], edge: list[str]) -> DataFrame:
+    """qid, nodes, edges, starts of functions that have starts (qid, node): a function's graph in one row, its size that of the function's source."""
+    gather = lambda df, cols, name: df.filter("qid is not null").select("qid", F.struct(*cols).alias("x")).groupBy("qid").agg(F.collect_list("x").alias(name))
+    rows = gather(starts, ["node"], "starts").join(gather(nodes, node, "nodes"), "qid", "left")
+    return rows.join(gather(edges, edge, "edges"), "qid", "left")
+
+
+def _solved(functions: DataFrame, solve: Callable[[list, list, list], list[tuple[int, int]]]) -> DataFrame:
+    """(qid, node, value) of what ``solve`` makes of each function's nodes, edges and starts (lists of tuples)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, out = ("nodes", "edges", "starts"), []
+            sizes = [batch.column(c).value_lengths().fill_null(0).to_pylist() for c in names]
+            flat = [list(zip(*(f.to_pylist() for f in batch.column(c).flatten().flatten()), strict=True)) for c in names]
+            at = [0, 0, 0]
+            for i, qid in enumerate(batch.column("qid").to_pylist()):
+                mine = [flat[k][at[k] : at[k] + sizes[k][i]] for k in range(3)]
+                at = [at[k] + sizes[k][i] for k in range(3)]
+                out += [(qid, *r) for r in solve(*mine)]
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["qid", "node", "value"])
+
+    return functions.select("qid", "nodes", "edges", "starts").mapInArrow(run, "qid string, node long, value long")
+
+
+def _depths(starts: Iterable[int], ahead: dict[int, Iterable[int]]) -> dict[int, int]:
+    """Least depths of what the starts reach."""
+    found = dict.fromkeys(starts, 0)
+    work = deque(found)
+    while work:
+        at = work.popleft()
+        for n in ahead.get(at, ()):
+            if n not in found:
+                found[n] = found[at] + 1
+                work.append(n)
+    return found
+
+
+def _slice(nodes: list, edges: list, sinks: list) -> list[tuple[int, int]]:
+    """Breadth first over uses; what defines a variable that a node uses is looked for against the edges, up to the nearest definitions."""
+    prior, defines, uses = {}, {}, {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            prior.setdefault(b, set()).add(a)
+    for n, target, names in nodes:
+        if n is not None:
+            defines.setdefault(n, set()).add(target)
+            uses.setdefault(n, set()).update(names or ())
+
+    def makers(node: int, var: str) -> set[int]:
+        found, met, work = set(), set(), [*prior.get(node, ())]
+        while work:
+            n = work.pop()
+            if n not in met:
+                met.add(n)
+                if var in defines.get(n, ()):
+                    found.add(n)
+                else:
+                    work += prior.get(n, ())
+        return found
+
+    found = {n: 0 for (n,) in sinks if n is not None}
+    work = deque(found)
+    while work:
+        at = work.popleft()
+        for var in uses.get(at, ()):
+            for n in makers(at, var) if var is not None else ():
+                if n not in found:
+                    found[n] = found[at] + 1
+                    work.append(n)
+    return list(found.items())
+
+
 def backward_slice(nodes: DataFrame, edges: DataFrame, sinks: DataFrame) -> DataFrame:
-    """(qid, node, depth): what the sinks (qid, node) depend on over uses and definitions, from nodes (qid, node, target, uses) and edges (qid, src, dst)."""
-    key = lambda node: F.concat_ws("\x1f", F.col("qid"), F.col(node).cast("string"))
-    uses = nodes.select("qid", "node", F.explode("uses").alias("var"))
-    back = reaching(nodes, edges).join(uses, ["qid", "node", "var"]).select(key("node").alias("src"), key("def").alias("dst")).distinct()
-    found = reach(back, sinks.select(key("node").alias("node")), None)
-    parts = F.split("node", "\x1f")
-    return found.select(parts[0].alias("qid"), parts[1].cast("long").alias("node"), F.col("depth").cast("long").alias("depth"))
+    """(qid, node, depth): what the sinks (qid, node) depend on over uses and definitions, from nodes (qid, node, target, uses) and edges (qid, src, dst).
+    A function is sliced whole by one task."""
+    found = _solved(_functions(nodes, edges, sinks, [F.col("node").cast("long"), "target", "uses"], [F.col("src").cast("long"), F.col("dst").cast("long")]), _slice)
+    return found.withColumnRenamed("value", "depth")
+
+
+def _unreached(nodes: list, edges: list, entries: list) -> list[tuple[int, int]]:
+    always, ahead = {}, {}
+    for n, constant in nodes:
+        if constant is not None:
+            always.setdefault(n, set()).add(constant)
+    for a, b, branch in edges:
+        if a is not None and b is not None and (branch is None or a not in always or branch in always[a]):
+            ahead.setdefault(a, []).append(b)
+    found = _depths([n for (n,) in entries if n is not None], ahead)
+    return [(n, 0) for n, _ in nodes if n not in found]
 
 
 def infeasible(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(qid, node): nodes that no path reaches once branches on constants are cut: nodes (qid, node, constant: what a condition always is, or null), edges (qid, src, dst,
-    branch: true, false or null), entries (qid, node)."""
-    key = lambda node: F.concat_ws("\x1f", F.col("qid"), F.col(node).cast("string"))
-    known = nodes.filter("constant is not null").select("qid", F.col("node").alias("src"), "constant")
-    open_ = edges.join(known, ["qid", "src"], "left").filter("branch is null or constant is null or branch = constant")
-    found = reach(open_.select(key("src").alias("src"), key("dst").alias("dst")), entries.select(key("node").alias("node")), None)
-    return nodes.withColumn("__key", key("node")).join(found.select(F.col("node").alias("__key")), "__key", "left_anti").select("qid", "node")
+    branch: true, false or null), entries (qid, node). A function is walked by one task; one without an entry has no node that is reached."""
+    number = nodes.schema["node"].dataType
+    walked = _functions(nodes, edges, entries, [F.col("node").cast("long"), "constant"], [F.col("src").cast("long"), F.col("dst").cast("long"), "branch"])
+    loose = nodes.select("qid", "node").join(entries.select("qid").distinct(), "qid", "left_anti")
+    return _solved(walked, _unreached).select("qid", F.col("node").cast(number).alias("node")).unionByName(loose)
 
 
 def phi_places(defs: DataFrame, frontiers: DataFrame) -> DataFrame:
@@ -69,8 +155,6 @@ def boundaries(modules: DataFrame, imports: DataFrame) -> DataFrame:
 def backtracking(patterns: DataFrame) -> DataFrame:
     """patterns (pattern) with verdict: exponential, safe, or unreadable. A pattern is exponential if something repeated without bound can match one text in two ways: its
     alternatives may begin alike, or it can be cut between two rounds at several places, as its end repeats without bound what it may begin with."""
-    from collections.abc import Iterator
-
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -318,3 +318,18 @@ def test_round_trips_are_counted_without_pairs(spark):
 def test_files_of_a_small_table_are_dealt_over_tasks(spark):
     rows = samples.code_files(spark, "/root/testdata/sf0.001")
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 8  # one task read them, and scanned them all
+
+
+def test_long_functions_take_no_rounds(spark):
+    n, jobs = 40, lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    ns = table(spark, [("f", i, f"v{i}", [f"v{i - 1}"], False if i == 3 else None) for i in range(n)], "qid string, node long, target string, uses array<string>, constant boolean")
+    es = table(spark, [("f", i, i + 1, True if i == 30 else None) for i in range(n - 1)] + [("f", 3, 4, True)], "qid string, src long, dst long, branch boolean")
+    at = lambda node: table(spark, [("f", node)], "qid string, node long")
+    try:
+        spark.sparkContext.setJobGroup("slice", "slice")
+        assert sorted(tuple(r) for r in ir.backward_slice(ns, es, at(n - 1)).collect()) == [("f", i, n - 1 - i) for i in range(n)]
+        spark.sparkContext.setJobGroup("reach", "reach")
+        assert ir.infeasible(ns, es.filter("src <> 3 or branch"), at(0)).agg(F.min("node"), F.count("*")).first() == (4, n - 4)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs("slice") <= 12 and jobs("reach") <= 12  # one round a node before

@@ -59,7 +59,7 @@ def entropy(token: Column) -> Column:
     """Shannon bits a character."""
     chars = F.filter(F.split(token, ""), lambda c: c != "")
     n = F.size(chars).cast("double")
-    parts = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    parts = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: (n - F.size(F.array_remove(chars, c))) / n)
     return F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
@@ -81,10 +81,14 @@ KEY_VALUE = r"(?i)(\b(?:" + "|".join(SECRET_NAMES) + r")\b)(\s*[:=]\s*)(['\"`])(
 QUOTED = r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`(?:\\.|[^`\\])*`"
 
 
+def secret_shape(token: Column) -> Column:
+    """Long, of base64 characters, and not hex alone."""
+    return (F.char_length(token) >= ENTROPY_LENGTH) & token.rlike(r"^[A-Za-z0-9+/_=-]+$") & ~token.rlike("^[0-9a-fA-F]+$")
+
+
 def high_entropy(token: Column) -> Column:
     """A token that looks like a secret: long, of base64 characters, not hex alone, and of many bits a character."""
-    shape = (F.char_length(token) >= ENTROPY_LENGTH) & token.rlike(r"^[A-Za-z0-9+/_=-]+$") & ~token.rlike("^[0-9a-fA-F]+$")
-    return F.when(shape, entropy(token) >= ENTROPY_BITS).otherwise(F.lit(False))
+    return F.when(secret_shape(token), entropy(token) >= ENTROPY_BITS).otherwise(F.lit(False))
 
 
 def redact(text: Column) -> tuple[Column, dict[str, Column]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions import text as T
-from gritstone.sources.tables import table
+from gritstone.sources.tables import spread, table
 
 #: Rule, pattern (also valid in RE2), severity, shape.
 RULES = (
@@ -44,16 +44,18 @@ def line_findings_stable_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def secret_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, token, entropy of the tokens in docs (doc_id, text) that look like secrets."""
-    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{24,}"), F.lit(0))).alias("token")).distinct()
-    return tokens.filter(T.high_entropy(F.col("token"))).withColumn("entropy", F.round(T.entropy(F.col("token")), 6))
+    """doc_id, token, entropy of the tokens in docs (doc_id, text) that look like secrets. Bits are counted once, where the text is read: what the
+    ``distinct`` gathers is small, so few tasks follow it."""
+    tokens = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{24,}"), F.lit(0))), T.secret_shape)
+    rows = docs.select("doc_id", F.explode(F.transform(tokens, lambda t: F.struct(t.alias("token"), T.entropy(t).alias("bits")))).alias("t"))
+    return rows.filter(F.col("t.bits") >= T.ENTROPY_BITS).select("doc_id", "t.token", F.round("t.bits", 6).alias("entropy")).distinct()
 
 
 def entropy_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Each part as a settings line whose value is base64, hex, or of few characters; and all documents, whose long tokens are hex."""
     h = F.sha2(F.col("p_partkey").cast("string"), 256)
     value = F.when(F.col("p_size") % 3 == 0, F.base64(F.unhex(h))).when(F.col("p_size") % 3 == 1, h).otherwise(F.repeat(F.lit("ab"), F.lit(14)))
-    settings = table(spark, d, "part").select((-F.col("p_partkey")).alias("doc_id"), F.concat(F.lit('key = "'), value, F.lit('"')).alias("text"))
+    settings = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select((-F.col("p_partkey")).alias("doc_id"), F.concat(F.lit('key = "'), value, F.lit('"')).alias("text"))
     return secret_tokens(settings.unionByName(table(spark, d, "documents").select("doc_id", "text")))
 
 

@@ -333,3 +333,11 @@ def test_long_functions_take_no_rounds(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs("slice") <= 12 and jobs("reach") <= 12  # one round a node before
+
+
+def test_bits_of_tokens_are_counted_before_they_are_gathered(spark):
+    docs = table(spark, [(1, "aB3dE5fG7hI9kL1mN3pQ5rS7 aB3dE5fG7hI9kL1mN3pQ5rS7"), (1, "aB3dE5fG7hI9kL1mN3pQ5rS7"), (None, "abababababababababababab"), (2, "0123456789abcdef0123456789abcdef"), (3, None)], "doc_id long, text string")
+    rows = scan.secret_tokens(docs)
+    assert [tuple(r) for r in rows.collect()] == [(1, "aB3dE5fG7hI9kL1mN3pQ5rS7", 4.334963)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LOG2") == 1 and plan.index("Aggregate") < plan.index("LOG2")

@@ -1,5 +1,6 @@
 """Program graphs as relations: interprocedural facts by tabulation, alias classes, dominators, class hierarchies, call
-resolution, invalidation and dead code. All but the dominators of one function are joins, in rounds over written tables."""
+resolution, invalidation and dead code. What is inside one function (dominators, its facts) is
+solved by a task; the rest are joins, in rounds over written tables."""
 
 from __future__ import annotations
 
